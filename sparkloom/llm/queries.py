@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat_format, mixing, quality_rules
 
-_MODULES = (mixing,)
+_MODULES = (mixing, chat_format, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
