@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, token_counts
+from . import chat_format, mixing, packing, quality_rules, token_counts, toxicity
 
-_MODULES = (mixing, token_counts, packing, chat_format, quality_rules)
+_MODULES = (mixing, toxicity, token_counts, packing, chat_format, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
