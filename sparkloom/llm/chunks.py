@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable
 
-#: Chunks a generation of the memory holds; two generations are kept, so it stays near 100 MB a worker.
-KEPT = 250_000
+#: Entries that a generation of a memory holds; two generations are kept, so each memory stays near 40 MB a worker.
+KEPT = 100_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,6 +16,51 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def kept_by_worker(key, build: Callable):
+    """build(), made once a Python worker: later tasks of the worker find it again under its key. Worker code travels by value, so it
+    has no module of its own to keep things in."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_by_worker", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+#: ASCII without the apostrophe, and the letters of Latin-1: here the split into words and the lower case below are the tokenizer's own.
+PLAIN = re.compile("[\\x21-\\x26\\x28-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
+    """chunks -> their ids as little-endian 32-bit bytes. Plain chunks are taken apart here and each lower-case part is encoded once; all
+    others go through the tokenizer as they are."""
+    from array import array
+
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+    bare.normalizer, bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def ids(tk, xs):
+        out = [array("I", e.ids) for e in tk.encode_batch_fast(xs, add_special_tokens=False)]
+        if sys.byteorder != "little":
+            for a in out:
+                a.byteswap()
+        return [a.tobytes() for a in out]
+
+    parts = Memory(lambda xs: ids(bare, xs))
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        plain = [PLAIN.fullmatch(c) is not None and "<|" not in c for c in chunks]
+        split = [PARTS.findall(c.lower()) if p else () for c, p in zip(chunks, plain, strict=True)]
+        known = parts({x for s in split for x in s})
+        other = iter(ids(whole, odd) if (odd := [c for c, p in zip(chunks, plain, strict=True) if not p]) else ())
+        return [b"".join(map(known.__getitem__, s)) if p else next(other) for s, p in zip(split, plain, strict=True)]
+
+    return encode
+
+
 def split_chunks(text: str) -> list[str]:
     """The text without ASCII white space. The tokenizers used here drop white space and never look across it, so a text's ids are its
     chunks' ids one after the other. Other white space stays inside a chunk and is left to the tokenizer."""

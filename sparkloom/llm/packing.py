@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memory, split_chunks, vocabulary_path
+from .chunks import Memory, encoder, kept_by_worker, split_chunks, vocabulary_path
 from .common import stored, table
 
 SIZE = 2048
@@ -20,15 +20,9 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = 0)
         import zlib
 
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        tk = Tokenizer.from_file(vocabulary)
         stop = np.array([end], "<u4").tobytes()
-
-        def make(chunks):
-            return [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch_fast(chunks, add_special_tokens=False)]
-
-        memory = Memory(make)
+        memory = kept_by_worker(("ids", vocabulary), lambda: Memory(encoder(vocabulary)))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):

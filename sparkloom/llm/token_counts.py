@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Memory, split_chunks, vocabulary_path
+from .chunks import Memory, kept_by_worker, split_chunks, vocabulary_path
 from .common import spare, table
 
 
@@ -129,8 +129,8 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
         import pyarrow as pa
         from tokenizers import Tokenizer
 
-        tk = Tokenizer.from_file(vocabulary)
-        letters, match = byte_letters(), LongestMatch(pieces_of(vocabulary))
+        letters = byte_letters()
+        tk, match = kept_by_worker(("longest match", vocabulary), lambda: (Tokenizer.from_file(vocabulary), LongestMatch(pieces_of(vocabulary))))
 
         def make(chunks):
             words, owner = [], []
@@ -142,7 +142,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
             pieces = np.bincount(np.array(owner, int), weights=match.lengths(words), minlength=len(chunks)).astype(int)
             return list(zip(n.tolist(), pieces.tolist(), strict=True))
 
-        memory = Memory(make)
+        memory = kept_by_worker(("lengths", vocabulary), lambda: Memory(make))
         for batch in batches:
             texts, counts = batch.column(0), []
             for at in range(0, batch.num_rows, 256):

@@ -44,7 +44,7 @@ class Votes:
 
     def __init__(self, lexicon: list[str]):
         self.of = {w: k % LEXICON_VOTERS for k, w in enumerate(lexicon)}
-        self.count = LEXICON_VOTERS + 6
+        self.count = LEXICON_VOTERS + 7
 
     def __call__(self, text: str, found: set[str]) -> int:
         hits = [w for w in found if w in self.of]
@@ -53,14 +53,16 @@ class Votes:
             bits |= 1 << self.of[w]
         n = len(hits)
         letters = sum(map(str.isupper, text[:100_000:7])), sum(map(str.isalpha, text[:100_000:7]))
-        more = (n >= 3, n * 100 >= max(len(found), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), letters[0] * 2 > letters[1] > 0, bool(_THREAT.search(text)))
+        more = (n >= 3, n * 100 >= max(len(found), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), letters[0] * 2 > letters[1] > 0, bool(_THREAT.search(text)), n == 0)
         return bits | sum(1 << LEXICON_VOTERS + k for k, yes in enumerate(more) if yes)
 
 
 class LabelModel:
-    """Two classes; voters are independent given the class but for pairs found to be correlated, which are modelled jointly.
+    """Two classes; voters are independent given the class but for pairs found to be correlated, which are modelled jointly. A voter
+    (or pair) that does not fire abstains, which is no evidence; that no lexicon entry stands in a text is a vote of its own.
 
-    Fitted by EM on counts of vote patterns. After a first fit, the correlation that is left between two voters given the class is
+    Fitted by EM on counts of vote patterns, with rows of known class (the learning fold's) as anchors that keep their class: voters for
+    different languages hardly ever fire together, and without anchors their class would drift. After a first fit, the correlation that is left between two voters given the class is
     estimated; pairs above ``linked``, strongest first, each voter in one pair at most, become one voter of four values, and EM runs again.
     """
 
@@ -77,21 +79,25 @@ class LabelModel:
         for k, g in enumerate(self.groups):
             both = [np.bincount(values[:, k], counts * p, 1 << len(g)) + s for p, s in ((1 - post, 1.0), (post, 0.1))]
             self.tables.append(np.log([b / b.sum() for b in both]))
+            self.tables[-1][:, 0] = 0
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         values = self._values(np.asarray(patterns, np.int64))
         odds = np.log(self.prior / (1 - self.prior)) + sum(t[1][values[:, k]] - t[0][values[:, k]] for k, t in enumerate(self.tables))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray) -> LabelModel:
-        patterns, counts, post = np.asarray(patterns, np.int64), np.asarray(counts, float), np.asarray(start, float)
+    def fit(self, patterns, counts, start, known=(), known_class=(), known_counts=()) -> LabelModel:
+        n, known_class = len(patterns), np.asarray(known_class, float)
+        patterns = np.concatenate([np.asarray(patterns, np.int64), np.asarray(known, np.int64)])
+        counts = np.concatenate([np.asarray(counts, float), np.asarray(known_counts, float)])
+        post = np.concatenate([np.asarray(start, float), known_class])
         for again in (False, True):
             if again:
                 self._pair(patterns, counts, post)
             values = self._values(patterns)
             for _ in range(50):
                 self._maximise(values, counts, post)
-                before, post = post, self.posterior(patterns)
+                before, post = post, np.concatenate([self.posterior(patterns[:n]), known_class])
                 if np.abs(before - post).max() < 1e-4:
                     break
         return self
@@ -154,10 +160,45 @@ def _counted(sample: DataFrame, target: str, least: int) -> list:
     return counted.withColumn("z", z).filter(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "f").limit(5_000).collect()
 
 
-def mine(found: list, base: float, most: int = 400) -> list[str]:
-    """Entries that are toxic in most rows where they stand. Forms of a stem that is itself an entry are left out."""
+def _own(found: list) -> list:
+    """Without stems that one word alone makes: those say no more than the word, and meet other words elsewhere."""
+    alone: dict[str, float] = {}
+    for r in found:
+        if r["f"][1:2] != ":":
+            for k in (4, 5, 6):
+                stem = f"{k}:{r['f'][:k]}"
+                alone[stem] = max(alone.get(stem, 0), r["n"])
+    return [r for r in found if alone.get(r["f"], 0) < 0.8 * r["n"]]
+
+
+def without_copies(rows: DataFrame, keys: int = 4) -> DataFrame:
+    """One row of each group of near copies, so that the rare words of one text with many copies look as rare as they are. Rows whose
+    five-word shingles have the same least hash are taken for copies, for each of a few hash functions in turn; the least id stays."""
+
+    def least(batches):
+        import hashlib
+
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                ws = text.lower().split()
+                grams = {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+                hs = [int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for g in grams]
+                out.append([min(h * m + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for h in hs) - (1 << 63) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)[:keys]])
+            yield pdf.assign(least=out)
+
+    own = F.struct(*rows.columns)
+    rows = rows.mapInPandas(least, "doc_id long, text string, y double, least array<long>").select(own.alias("row"), "least")
+    for k in range(keys):
+        rows = rows.groupBy(F.col("least")[k]).agg(F.min_by(F.struct("row", "least"), F.struct("row.doc_id", "row.text")).alias("one")).select("one.*")
+    return rows.select("row.*")
+
+
+def mine(found: list, base: float, toxic: float, most: int = 400) -> list[str]:
+    """Entries that are toxic in most rows where they stand, and stand in 1 % of the toxic rows or more: the rare words of one toxic text
+    and its copies are no lexicon. Forms of a stem that is itself an entry are left out."""
     kept: list[str] = []
-    for f in sorted((r for r in found if r["z"] > 0 and r["s"] >= 6 and r["s"] / r["n"] >= max(0.6, 3 * base)), key=lambda r: (-r["z"], r["f"])):
+    for f in sorted((r for r in found if r["z"] > 0 and r["s"] >= max(6, 0.01 * toxic) and r["s"] / r["n"] >= max(0.8, 3 * base)), key=lambda r: (-r["z"], r["f"])):
         word = f["f"].split(":")[-1]
         if not any(k[0].isdigit() and k[1] == ":" and word.startswith(k[2:]) for k in kept if len(k) > 2):
             kept.append(f["f"])
@@ -191,9 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = stored(docs.join(F.broadcast(known), "doc_id").select("doc_id", text, "y"))
-    base = rows.agg(F.avg("y")).first()[0] or 0.05
-    lexicon = list(dict.fromkeys([*mine(_counted(rows, "y", 6), base), *CURATED]))
+    rows = stored(without_copies(docs.join(F.broadcast(known), "doc_id").select("doc_id", text, "y")))
+    base, toxic = (x or 0.0 for x in rows.agg(F.avg("y"), F.sum("y")).first())
+    lexicon = list(dict.fromkeys([*mine(_own(_counted(rows, "y", 6)), base, toxic), *CURATED]))
     votes = Votes(lexicon)
 
     def vote(batches):
@@ -202,12 +243,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"votes": [votes(t, features(t)) for t in pdf["text"]]})
 
+    def vote_known(batches):
+        for pdf in batches:
+            yield pdf.assign(votes=[votes(t, features(t)) for t in pdf["text"]])[["votes", "y"]]
+
     patterns = docs.select(text).mapInPandas(vote, "votes long").groupBy("votes").count().collect()
     bits, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], float)
     if not len(bits):
         return Model({}, -3.0)
     start = np.where(bits & ((1 << LEXICON_VOTERS) - 1), 0.8, 0.02)
-    label = LabelModel(votes.count).fit(bits, counts, start)
+    anchors = rows.select("text", "y").mapInPandas(vote_known, "votes long, y double").groupBy("votes", "y").count().collect()
+    label = LabelModel(votes.count).fit(bits, counts, start, *([r[k] for r in anchors] for k in range(3)))
     if (counts * label.posterior(bits)).sum() <= 0:
         return Model({}, -3.0)
 
@@ -217,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pdf.assign(y=label.posterior(np.array(v, np.int64)) if v else [])
 
     soft = stored(rows.mapInPandas(posterior, "doc_id long, text string, y double"))
-    names = [r["f"] for r in _counted(soft, "y", 6)]
+    names = [r["f"] for r in _own(_counted(soft, "y", 6))]
     at = {f: i for i, f in enumerate(names)}
 
     def columns(batches):
