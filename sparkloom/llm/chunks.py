@@ -35,10 +35,12 @@ PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+"
 def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """chunks -> their ids as little-endian 32-bit bytes. Plain chunks are taken apart here and each lower-case part is encoded once; all
     others go through the tokenizer as they are."""
+    import os
     from array import array
 
     from tokenizers import Tokenizer, pre_tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; a pool of threads in each only spins
     whole, bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
     bare.normalizer, bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 

@@ -82,7 +82,7 @@ def pack_lengths(counts: dict[int, int], size: int = SIZE) -> list[tuple[dict[in
     return out
 
 
-def pack(pieces: DataFrame, size: int = SIZE, rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, rows: int = 2_000) -> DataFrame:
     """pieces: doc_id, piece, length (1 to ``size``) and more columns. Adds sequence_id, offset.
 
     Only the histogram of lengths, at most ``size`` rows, goes to the driver. The combinations made from it give each length a list of
