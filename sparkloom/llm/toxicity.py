@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import re
 
 import numpy as np
@@ -22,16 +24,36 @@ CURATED = (
     "crétin connard imbécile ordure merde salope débile "
     "dummkopf vollidiot abschaum arschloch scheiße hure missgeburt drecksau"
 ).split()
-_MARKS = re.compile(r"[^\w\s]|_")
+STEMS = (4, 5, 6)
+_WORD = re.compile(r"[^\W_]+")
 _TEMPLATE = re.compile(r"\b(?:you are|you're|du bist|tu es|eres) (?:a|an|ein|eine|un|una|such a|so) \w+", re.I)
 _MASKED = re.compile(r"\b[A-Za-z]+[*@$#]{1,3}[A-Za-z]+\b")
 _THREAT = re.compile(r"\b(?:kill|die|hate|shut up|get lost|verrecke|hasse|crève|muere|odio)\b", re.I)
 
 
+def distinct_words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
 def features(text: str) -> set[str]:
     """Distinct words in lower case, and as "4:..." to "6:..." their first letters: stems that only inflected forms show."""
-    ws = set(_MARKS.sub(" ", text.lower()).split())
-    return ws.union(*({f"{k}:{w[:k]}" for w in ws if len(w) > k} for k in (4, 5, 6)))
+    ws = distinct_words(text)
+    return ws.union(*({f"{k}:{w[:k]}" for w in ws if len(w) > k} for k in STEMS))
+
+
+class Entries:
+    """Looks up words and stems without writing out a text's features. entries: feature -> value."""
+
+    def __init__(self, entries: dict):
+        self.words = {f: v for f, v in entries.items() if f[1:2] != ":"}
+        self.stems = {k: s for k in STEMS if (s := {f[2:]: v for f, v in entries.items() if f.startswith(f"{k}:")})}
+
+    def __call__(self, ws: set[str]) -> list:
+        """The values of the features that hold, one each."""
+        out = [self.words[w] for w in ws & self.words.keys()]
+        for k, stems in self.stems.items():
+            out += [stems[s] for s in {w[:k] for w in ws if len(w) > k} & stems.keys()]
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,17 +65,16 @@ class Votes:
     """The voters. A vote is one bit; all of them make one int."""
 
     def __init__(self, lexicon: list[str]):
-        self.of = {w: k % LEXICON_VOTERS for k, w in enumerate(lexicon)}
+        self.of = Entries({w: k % LEXICON_VOTERS for k, w in enumerate(lexicon)})
         self.count = LEXICON_VOTERS + 7
 
-    def __call__(self, text: str, found: set[str]) -> int:
-        hits = [w for w in found if w in self.of]
-        bits = 0
-        for w in hits:
-            bits |= 1 << self.of[w]
-        n = len(hits)
-        letters = sum(map(str.isupper, text[:100_000:7])), sum(map(str.isalpha, text[:100_000:7]))
-        more = (n >= 3, n * 100 >= max(len(found), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), letters[0] * 2 > letters[1] > 0, bool(_THREAT.search(text)), n == 0)
+    def __call__(self, text: str) -> int:
+        ws = distinct_words(text)
+        hits, bits, some = self.of(ws), 0, text[:100_000:7]
+        for v in hits:
+            bits |= 1 << v
+        n, loud = len(hits), sum(map(operator.ne, some, some.lower()))
+        more = (n >= 3, n * 100 >= max(len(ws), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), loud * 3 > len(some), bool(_THREAT.search(text)), n == 0)
         return bits | sum(1 << LEXICON_VOTERS + k for k, yes in enumerate(more) if yes)
 
 
@@ -209,16 +230,11 @@ class Model:
     """What a scoring pass needs: a few thousand weights."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+        self.entries, self.bias = Entries(weights), bias
 
     def score(self, text: str) -> float:
-        w, s = self.weights, self.bias
-        for x in set(_MARKS.sub(" ", text.lower()).split()):
-            if (v := w.get(x)) is not None:
-                s += v
-        for x in {p for x in set(_MARKS.sub(" ", text.lower()).split()) for k in (4, 5, 6) if len(x) > k and (p := f"{k}:{x[:k]}") in w}:
-            s += w[x]
-        return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
+        s = self.bias + math.fsum(self.entries(distinct_words(text)))
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, s))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -241,11 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame({"votes": [votes(t, features(t)) for t in pdf["text"]]})
+            yield pd.DataFrame({"votes": [votes(t) for t in pdf["text"]]})
 
     def vote_known(batches):
         for pdf in batches:
-            yield pdf.assign(votes=[votes(t, features(t)) for t in pdf["text"]])[["votes", "y"]]
+            yield pdf.assign(votes=[votes(t) for t in pdf["text"]])[["votes", "y"]]
 
     patterns = docs.select(text).mapInPandas(vote, "votes long").groupBy("votes").count().collect()
     bits, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], float)
@@ -259,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def posterior(batches):
         for pdf in batches:
-            v = [votes(t, features(t)) for t in pdf["text"]]
+            v = [votes(t) for t in pdf["text"]]
             yield pdf.assign(y=label.posterior(np.array(v, np.int64)) if v else [])
 
     soft = stored(rows.mapInPandas(posterior, "doc_id long, text string, y double"))
@@ -272,7 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "at": [sorted(at[f] for f in features(t) if f in at) for t in pdf["text"]]})
 
-    data = soft.select("text", "y").mapInPandas(columns, "y double, at array<int>").orderBy("y", "at").toPandas()
+    data = soft.select("text", "y").mapInPandas(columns, "y double, at array<int>").toPandas()
+    data["at"] = data["at"].map(tuple)
+    data = data.sort_values(["y", "at"], kind="stable", ignore_index=True)
     if not len(data) or not names:
         return Model({w: 3.0 for w in lexicon}, -3.0)
     rows_of = np.repeat(np.arange(len(data)), [len(a) for a in data["at"]])
