@@ -50,18 +50,19 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", most_buckets: int = 8192) -> tuple[DataFrame, list]:
+def with_next(docs: DataFrame, key: str = "doc_id", most_buckets: int = 4096) -> tuple[DataFrame, list]:
     """docs in ranges of ``key``, with the columns _bucket and _guest, and the window order inside a bucket.
 
     Each bucket also gets the first row of the next one as a guest, and the last bucket the very first row of all, so that "the next
-    row" is always found inside a bucket: no window over all rows and one shuffle of the texts. Bucket bounds are the least keys of a range
-    partitioning, at most ``most_buckets`` numbers on the driver. Null keys go last; equal keys go by text.
+    row" is always found inside a bucket: no window over all rows and one shuffle of the texts. Bucket bounds are approximate quantiles of
+    the key, at most ``most_buckets`` numbers on the driver; each is a key that occurs, and so the first of its bucket. Null keys go last; equal keys go by text.
     """
     ids = docs.select(key)
     n = ids.count()
     parts = max(1, min(most_buckets, n // 200))
-    bounds = sorted(r[0] for r in ids.filter(F.col(key).isNotNull()).repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key)).collect())
-    bounds = sorted(set(bounds)) or [0]
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(1.0))
+    low, inner = ids.agg(F.min(key), F.percentile_approx(key, shares, 10 * parts)).first()
+    bounds = sorted({low, *(inner if parts > 1 else [])}) if low is not None else [0]
     last = len(bounds) - 1
     edge = F.array(*[F.lit(b) for b in bounds])
     if last > 16:  # the bounds as one literal; the search below looks at 14 of them a row
