@@ -12,7 +12,7 @@ from .common import SPACES, spare, stored, table
 
 WIDTH, LEAST = 5, 0.8
 RECALL = 0.9999
-SMALL, DEPTH, BLOCK = 1_000, 6, 512
+SMALL, DEPTH, BLOCK = 500, 6, 512
 
 
 def runs_for(recall: float = RECALL, depth: int = 2) -> int:
@@ -78,7 +78,8 @@ def children(s: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(docs: DataFrame, runs: int) -> DataFrame:
-    """doc_id, _k (key of the document's set), _n (its size), _paths (the nodes it chooses at the root of each run)."""
+    """doc_id, _k (key of the document's set), _n (its size), _paths (the nodes it chooses two levels below the root of each run: one shared
+    passage puts many documents together at the first level, hardly ever at the second)."""
     with np.errstate(over="ignore"):
         roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -90,7 +91,7 @@ def marked(docs: DataFrame, runs: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(1).to_pylist())
                 keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-                paths = [children(s, roots)[1].view(np.int64) for s in sets]
+                paths = [children(s, children(s, roots)[1])[1].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "_k", "_n", "_paths"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -248,16 +249,17 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     kept = stored(open_.join(sized, "_p"))
     wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id"), "_k")
     own = stored(sets_of(docs, wanted))
-    leaves = [kept.filter(F.col("_m") <= small)]
-    for level in range(2, depth + 1):
-        big = kept.filter(F.col("_m") > small)
+    leaves, big = [kept.filter(F.col("_m") <= small)], kept.filter(F.col("_m") > small)
+    for level in range(3, depth + 1):
         if big.isEmpty():
             break
-        kids = big.groupBy("_k").agg(F.sort_array(F.collect_list("_p")).alias("_ps")).join(own, "_k")
-        open_ = kids.mapInPandas(_split, "_p long, _k long").distinct()
-        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
-        kept = stored(open_.join(sized, "_p"))
-        leaves.append(kept.filter(F.col("_m") <= small) if level < depth else kept)
+        kids = big.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_ps")).join(own, "_k")
+        open_ = kids.select("_k", F.transform("_ps", lambda x: x["_p"]).alias("_ps"), F.transform("_ps", lambda x: x["_m"]).alias("_ms"), "_set").mapInPandas(_split, "_p long, _k long, _above long").distinct()
+        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig"), F.max("_above").alias("_above")).filter("_m > 1")
+        kept = stored(open_.select("_p", "_k").join(sized, "_p"))
+        done = (F.col("_m") <= small) | (2 * F.col("_m") >= F.col("_above")) | F.lit(level == depth)
+        leaves.append(kept.filter(done).drop("_above"))
+        big = kept.filter(~done)
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
@@ -279,14 +281,14 @@ def _split(batches):
     import pandas as pd
 
     for pdf in batches:
-        ps, ks = [], []
-        for k, nodes, s in zip(pdf["_k"], pdf["_ps"], pdf["_set"], strict=True):
-            _, kids = children(np.asarray(s, np.int64).view(np.uint64), np.asarray(nodes, np.int64).view(np.uint64))
-            kids = np.unique(kids.view(np.int64))
-            ps.append(kids)
+        ps, ks, ms = [], [], []
+        for k, nodes, above, s in zip(pdf["_k"], pdf["_ps"], pdf["_ms"], pdf["_set"], strict=True):
+            at, kids = children(np.asarray(s, np.int64).view(np.uint64), np.asarray(nodes, np.int64).view(np.uint64))
+            ps.append(kids.view(np.int64))
             ks.append(np.full(len(kids), k, np.int64))
+            ms.append(np.asarray(above, np.int64)[at])
         if ps:
-            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks)})
+            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks), "_above": np.concatenate(ms)})
 
 
 def counted_links(rows: DataFrame) -> DataFrame:
