@@ -66,3 +66,13 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 
 def hex_digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def lean_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """df, with Arrow batches of its session cut to so many rows: rows here hold whole texts, and the usual 10,000 of them at once, on both
+    sides of the pipe and as Python strings, would be most of an executor's memory. Spark bounds batches by rows, so this is per session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, spare, stored, table
+from .common import SPACES, lean_batches, spare, stored, table
 
 WIDTH, LEAST = 5, 0.8
 RECALL = 0.9999
@@ -95,7 +95,7 @@ def marked(docs: DataFrame, runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "_k", "_n", "_paths"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, _k long, _n long, _paths array<long>")
+    return lean_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, _k long, _n long, _paths array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

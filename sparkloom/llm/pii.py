@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, table
+from .common import lean_batches, spare, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at most that the field's weights are fitted on, picked by a hash of their text among those with a candidate token.
@@ -214,7 +214,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> SkipChain:
     """Fit on at most about ``sample`` documents with candidates, labelled by the exact patterns; half of them by hash lose the features
     that repeat the patterns (luhn, three dots, the @ and + signs), so that context, chain and skip edges carry weight of their own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = docs.select(text.alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{7}|[0-9]\.[0-9]")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    some = lean_batches(docs).select(text.alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{7}|[0-9]\.[0-9]")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
     some = some.filter(F.length("text") <= 200_000)
     share = min(1.0, sample / max(some.count(), 1))
 
@@ -258,7 +258,7 @@ def scan(docs: DataFrame, field: SkipChain) -> DataFrame:
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {t}" for n, t in zip(names, ["long"] * 4 + [span] * 2 + ["string"], strict=True)]
-    return docs.select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, ", ".join(fields))
+    return lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, ", ".join(fields))
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

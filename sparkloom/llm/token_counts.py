@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Memory, kept_by_worker, split_chunks, vocabulary_path
-from .common import spare, table
+from .common import lean_batches, spare, table
 
 
 class LongestMatch:
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.select(F.col(text).cast("string").alias("_text_"), *docs.columns)
+    rows = lean_batches(docs).select(F.col(text).cast("string").alias("_text_"), *docs.columns)
     return rows.mapInArrow(count, ", ".join(x for x in (fields, f"`{names[0]}` long, `{names[1]}` long") if x))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, stored, table
+from .common import lean_batches, spare, stored, table
 
 #: Labelled rows at most that the lexicon is mined from and the classifier is fitted on, picked by a hash of their id.
 SAMPLE = 20_000
@@ -243,6 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     The lexicon is mined from, and the classifier fitted on, at most about ``sample`` labelled rows picked by hash. The label model's
     counts of vote patterns are taken over all documents; there are 2 to the number of voters patterns at most.
     """
+    docs = lean_batches(docs)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     share = sample / max(known.count(), 1)
     if share < 1:
@@ -312,7 +313,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names[1:]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = docs.select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, f"{fields}, `{names[1]}` double, `{names[2]}` int")
+    scored = lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, f"{fields}, `{names[1]}` double, `{names[2]}` int")
     return scored.withColumn(names[0], held_out(F.col("doc_id"))).select(*docs.columns, *names)
 
 
