@@ -6,8 +6,8 @@ import re
 import sys
 from collections.abc import Callable
 
-#: Entries that a generation of a memory holds; two generations are kept, so each memory stays near 40 MB a worker.
-KEPT = 100_000
+#: Entries that a generation of a memory holds; two generations are kept, so each memory stays near 60 MB a worker.
+KEPT = 200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,14 +27,15 @@ def kept_by_worker(key, build: Callable):
     return kept[key]
 
 
-#: ASCII without the apostrophe, and the letters of Latin-1: here the split into words and the lower case below are the tokenizer's own.
-PLAIN = re.compile("[\\x21-\\x26\\x28-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: ASCII without the apostrophe, its plainest white space, and the letters of Latin-1: here the split into words and the lower case below are
+#: the tokenizer's own.
+PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x26\\x28-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \\t\\n\\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """chunks -> their ids as little-endian 32-bit bytes. Plain chunks are taken apart here and each lower-case part is encoded once; all
-    others go through the tokenizer as they are."""
+    """texts -> their ids as little-endian 32-bit bytes. Plain texts are taken apart here and each lower-case part is encoded once while it
+    is remembered; other texts go through the tokenizer chunk by chunk."""
     import os
     from array import array
 
@@ -44,21 +45,24 @@ def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     whole, bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
     bare.normalizer, bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def ids(tk, xs):
-        out = [array("I", e.ids) for e in tk.encode_batch_fast(xs, add_special_tokens=False)]
-        if sys.byteorder != "little":
-            for a in out:
-                a.byteswap()
-        return [a.tobytes() for a in out]
-
-    parts = Memory(lambda xs: ids(bare, xs))
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(c) is not None and "<|" not in c for c in chunks]
-        split = [PARTS.findall(c.lower()) if p else () for c, p in zip(chunks, plain, strict=True)]
-        known = parts({x for s in split for x in s})
-        other = iter(ids(whole, odd) if (odd := [c for c, p in zip(chunks, plain, strict=True) if not p]) else ())
-        return [b"".join(map(known.__getitem__, s)) if p else next(other) for s, p in zip(split, plain, strict=True)]
+    def ids(tk):
+        def make(xs):
+            out = [array("I", e.ids) for e in tk.encode_batch_fast(xs, add_special_tokens=False)]
+            if sys.byteorder != "little":
+                for a in out:
+                    a.byteswap()
+            return [a.tobytes() for a in out]
+
+        return make
+
+    parts, chunks = Memory(ids(bare)), Memory(ids(whole), KEPT // 4)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        split = [PARTS.findall(t.lower()) if p else split_chunks(t) for t, p in zip(texts, plain, strict=True)]
+        of_parts = parts({x for s, p in zip(split, plain, strict=True) if p for x in s})
+        of_chunks = chunks({x for s, p in zip(split, plain, strict=True) if not p for x in s})
+        return [b"".join(map((of_parts if p else of_chunks).__getitem__, s)) for s, p in zip(split, plain, strict=True)]
 
     return encode
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memory, encoder, kept_by_worker, split_chunks, vocabulary_path
+from .chunks import encoder, kept_by_worker, vocabulary_path
 from .common import lean_batches, stored, table
 
 SIZE = 2048
@@ -22,15 +22,13 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = 0)
         import pyarrow as pa
 
         stop = np.array([end], "<u4").tobytes()
-        memory = kept_by_worker(("ids", vocabulary), lambda: Memory(encoder(vocabulary)))
+        encode = kept_by_worker(("ids", vocabulary), lambda: encoder(vocabulary))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
-                split = [split_chunks(t or "") for t in texts.slice(at, 256).to_pylist()]
-                known = memory({c for s in split for c in s})
                 out = []
-                for doc, s in zip(ids[at : at + 256], split, strict=True):
-                    own = b"".join(map(known.__getitem__, s)) + stop
+                for doc, own in zip(ids[at : at + 256], encode([t or "" for t in texts.slice(at, 256).to_pylist()]), strict=True):
+                    own += stop
                     for k, i in enumerate(range(0, len(own), 4 * size)):
                         part = own[i : i + 4 * size]
                         out.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
