@@ -94,11 +94,12 @@ def temporal_coverage(spark, sf_dir):
 
 
 @query(r"""
-WITH g AS (SELECT n_nationkey, lower(n_name) AS n, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(n_name) >= 4),
+WITH g AS (SELECT n_nationkey, ' ' || array_to_string(regexp_extract_all(lower(n_name), '[\p{L}\p{M}\p{N}_]+'), ' ') || ' ' AS n, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(n_name) >= 4),
 t AS (SELECT d.doc_id, lower(left(text, 100) || ' ' || coalesce(string_agg(n_name || ', ' || r_name, ' ' ORDER BY n_nationkey), '')) AS t FROM documents d LEFT JOIN nation ON n_nationkey = d.doc_id % 25 OR n_nationkey = d.doc_id % 7 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY d.doc_id, text),
-h AS (SELECT doc_id, n_name, r_name FROM t JOIN g ON regexp_matches(t, '(^|[^\p{L}\p{N}_])' || regexp_escape(n) || '($|[^\p{L}\p{N}_])')),
+ts AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+'), ' ') || ' ' AS s FROM t),
+h AS (SELECT doc_id, n_name, r_name FROM ts JOIN g ON contains(s, n)),
 c AS (SELECT doc_id, list_sort(list(DISTINCT n_name)) AS countries, list_sort(list(DISTINCT r_name)) AS regions FROM h GROUP BY doc_id),
-m AS (SELECT doc_id, list(r_name ORDER BY r_regionkey) AS said FROM t JOIN region ON regexp_matches(t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(r_name)) || '($|[^\p{L}\p{N}_])') GROUP BY doc_id)
+m AS (SELECT doc_id, list(r_name ORDER BY r_regionkey) AS said FROM ts JOIN region ON contains(s, ' ' || lower(r_name) || ' ') GROUP BY doc_id)
 SELECT t.doc_id, coalesce(array_to_string(countries, '|'), '') AS countries, coalesce(array_to_string(regions, '|'), '') AS regions, coalesce(array_to_string(said, '|'), '') AS said FROM t LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """)
 def entity_regions(spark, sf_dir):
