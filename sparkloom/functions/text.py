@@ -17,6 +17,11 @@ def present(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row. An expression that a lambda refers to would be computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(c: Column) -> Column:
     """Lower case, then runs of Unicode word characters."""
     return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(r"(?U)\w+"), F.lit(0))
@@ -157,8 +162,8 @@ def tagged(c: Column, patterns: dict[str, str], most: int = 30_000) -> Column:
 
 def mentioned(c: Column, names: Column, most: int = 20_000) -> Column:
     """The names, in their own order, that stand in the text as whole words, in any case."""
-    t = F.lower(head(c, most))
-    return F.filter(names, lambda n: F.rlike(t, F.concat(F.lit(r"(?U)\b\Q"), F.lower(n), F.lit(r"\E\b"))))
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(tokens(x), " "), F.lit(" "))
+    return let(spaced(head(c, most)), lambda t: F.filter(names, lambda n: F.contains(t, spaced(n))))
 
 
 def labelled_list(label: str, values: Column) -> Column:
@@ -216,8 +221,7 @@ SOFT_REFUSALS = ["cannot be determined", "not specified", "i cannot", "not menti
 
 
 def says_any(c: Column, phrases: list[str]) -> Column:
-    t = F.lower(or_empty(c))
-    return F.exists(texts(phrases), lambda p: F.contains(t, p))
+    return let(F.lower(or_empty(c)), lambda t: F.exists(texts(phrases), lambda p: F.contains(t, p)))
 
 
 def cti_bucket(c: Column) -> Column:
@@ -234,7 +238,10 @@ def citation_tags(c: Column) -> Column:
 
 
 def shingles(ws: Column, n: int) -> Column:
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def make(w):
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, make)
 
 
 def uuid5(namespace: str, name: Column) -> Column:

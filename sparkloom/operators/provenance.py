@@ -82,7 +82,7 @@ def overlaps(tokens: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
 def coverage(answer: Column, context: Column, n: int = 3) -> Column:
     """Share of the answer's distinct n-grams that the context holds; 0 without any."""
     a, c = F.array_distinct(T.shingles(T.tokens(answer), n)), T.shingles(T.tokens(context), n)
-    return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, c)) / F.size(a), 4)).otherwise(0.0)
+    return T.let(F.struct(a.alias("a"), c.alias("c")), lambda s: F.when(F.size(s["a"]) > 0, F.round(F.size(F.array_intersect(s["a"], s["c"])) / F.size(s["a"]), 4)).otherwise(0.0))
 
 
 def decompose(dd: Column, dh: Column, hd: Column, hh: Column) -> list[Column]:

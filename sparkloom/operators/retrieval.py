@@ -75,9 +75,8 @@ def bm25(index: Index, queries: DataFrame, k: int) -> DataFrame:
 def hashed_vector(text: Column) -> Column:
     """The offline encoder: counts of tokens by hash bucket, L2-normalised; as map bucket -> weight."""
     bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % DIMENSIONS)
-    buckets = F.transform(T.tokens(text), bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    return normalised(counts)
+    count = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"))
+    return normalised(T.let(F.transform(T.tokens(text), bucket), count))
 
 
 def normalised(v: Column) -> Column:

@@ -44,10 +44,10 @@ def stratified_roundrobin(spark, sf_dir):
     return L.round_robin(marked(spark, sf_dir), "reliance", "event_type", "event_id", 40, "9").select("reliance", "event_type", "event_id", COL("place").cast("long").alias("place"))
 
 
-@query(f"SELECT event_id, {_draw("'11'", "event_id")} AS draw FROM events WHERE event_id % 100 = 7 ORDER BY draw, event_id")
+@query(f"SELECT event_id, {_draw("'11'", "event_id")} AS draw FROM events ORDER BY draw, event_id")
 def random_order(spark, sf_dir):
-    """A sample's final order, by hash; the sample is what annotators see."""
-    e = load(spark, sf_dir, "events", "event_id").filter("event_id % 100 = 7")
+    """A final order by hash."""
+    e = load(spark, sf_dir, "events", "event_id")
     return e.withColumn("draw", S.hash_draw("11", COL("event_id"))).orderBy("draw", "event_id")
 
 

@@ -224,14 +224,14 @@ def integrity_checks(spark, sf_dir):
 
 
 @query(r"""
-WITH p AS (SELECT d.doc_id, 'Context: ' || left(d.text, 150) || ' Question: ' || left(trim(b.text), 30) AS prompt, substr(trim(left(d.text, 150)), 20, 25) AS passage FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+WITH p AS (SELECT d.doc_id, 'Context: ' || d.text || ' Question: ' || trim(b.text) AS prompt, substr(trim(d.text), 20) AS passage FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
 SELECT doc_id, CAST(CASE WHEN passage = '' THEN 0 ELSE position(passage IN prompt) END AS INTEGER) - 1 AS start, CASE WHEN passage <> '' AND position(passage IN prompt) > 0 THEN CAST(position(passage IN prompt) - 1 + length(passage) AS INTEGER) END AS stop FROM p
 """)
 def prompt_spans(spark, sf_dir):
     """Where a stripped passage stands in its rendered prompt; -1 and null where it does not."""
-    b = load(spark, sf_dir, "benchmark").select(COL("item_id").alias("i"), F.left(F.trim("text"), F.lit(30)).alias("q"))
+    b = load(spark, sf_dir, "benchmark").select(COL("item_id").alias("i"), F.trim("text").alias("q"))
     d = load(spark, sf_dir, "documents", "doc_id", "text").join(R.small(b), COL("i") == COL("doc_id") % 40)
-    p = d.select("doc_id", F.concat(F.lit("Context: "), F.left("text", F.lit(150)), F.lit(" Question: "), "q").alias("prompt"), F.substring(F.trim(F.left("text", F.lit(150))), 20, 25).alias("passage"))
+    p = d.select("doc_id", F.concat(F.lit("Context: "), "text", F.lit(" Question: "), "q").alias("prompt"), F.substring(F.trim("text"), 20, 1 << 30).alias("passage"))
     at = F.when(COL("passage") == "", 0).otherwise(F.expr("instr(prompt, passage)"))
     return p.select("doc_id", (at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("passage")).alias("stop"))
 

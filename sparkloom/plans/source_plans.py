@@ -78,20 +78,20 @@ def text_per_document(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, left(text, 300) || repeat(chr(10), CAST(doc_id % 7 AS INTEGER)) || 'end' AS t FROM documents)
+WITH t AS (SELECT doc_id, text || repeat(chr(10), CAST(doc_id % 7 AS INTEGER)) || 'end' AS t FROM documents)
 SELECT doc_id, md5(regexp_replace(t, '\n{4,}', chr(10) || chr(10), 'g')) AS clean_md5 FROM t
 """)
 def extract_cleanup(spark, sf_dir):
-    t = F.concat(F.left("text", F.lit(300)), F.repeat(F.lit("\n"), (COL("doc_id") % 7).cast("int")), F.lit("end"))
+    t = F.concat("text", F.repeat(F.lit("\n"), (COL("doc_id") % 7).cast("int")), F.lit("end"))
     return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(W.page_text(t)).alias("clean_md5"))
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, left(text, 200) || chr(1) || '12345 67890 12345 6789 x' || chr(2) || 'short' AS t FROM documents), r AS (SELECT doc_id, array_to_string(regexp_extract_all(t, '[\x20-\x7E\r\n\t]{20,}'), chr(10)) AS r FROM t)
+WITH t AS (SELECT doc_id, text || chr(1) || '12345 67890 12345 6789 x' || chr(2) || 'short' AS t FROM documents), r AS (SELECT doc_id, array_to_string(regexp_extract_all(t, '[\x20-\x7E\r\n\t]{20,}'), chr(10)) AS r FROM t)
 SELECT doc_id, array_to_string(list_filter(string_split(r, chr(10)), lambda x: x <> '' AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) > 0.3 * length(x)), chr(10)) AS salvaged FROM r
 """)
 def legacy_salvage(spark, sf_dir):
-    t = F.concat(F.left("text", F.lit(200)), F.lit("\x0112345 67890 12345 6789 x\x02short"))
+    t = F.concat("text", F.lit("\x0112345 67890 12345 6789 x\x02short"))
     return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", W.legacy_text(t).alias("salvaged"))
 
 

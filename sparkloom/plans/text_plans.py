@@ -84,18 +84,18 @@ def date_normalise(spark, sf_dir):
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' 1990-2015 and 2001 – 2020' WHEN 1 THEN ' in 1999, 2004' WHEN 2 THEN ' since 2010' ELSE '' END AS text FROM documents),
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' 1990-2015 and 2001 – 2020' WHEN 1 THEN ' in 1999, 2004' WHEN 2 THEN ' since 2010' ELSE '' END || ' ' || text AS text FROM documents),
 y AS (SELECT doc_id, list_concat(regexp_extract_all(text, '{T.YEARS}', 1), regexp_extract_all(text, '{T.YEARS}', 2)) AS ends, regexp_extract_all(text, '{T.YEAR}', 0) AS ys FROM t)
 SELECT doc_id, CASE WHEN len(ends) > 0 THEN list_min(ends) || '-' || list_max(ends) WHEN len(ys) > 1 THEN list_min(ys) || '-' || list_max(ys) WHEN len(ys) = 1 THEN ys[1] ELSE '' END AS coverage FROM y
 """)
 def temporal_coverage(spark, sf_dir):
-    text = F.expr("left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' 1990-2015 and 2001 – 2020' WHEN 1 THEN ' in 1999, 2004' WHEN 2 THEN ' since 2010' ELSE '' END")
+    text = F.expr("CASE doc_id % 4 WHEN 0 THEN ' 1990-2015 and 2001 – 2020' WHEN 1 THEN ' in 1999, 2004' WHEN 2 THEN ' since 2010' ELSE '' END || ' ' || text")
     return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.temporal_coverage(text).alias("coverage"))
 
 
 @query(r"""
 WITH g AS (SELECT n_nationkey, ' ' || array_to_string(regexp_extract_all(lower(n_name), '[\p{L}\p{M}\p{N}_]+'), ' ') || ' ' AS n, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(n_name) >= 4),
-t AS (SELECT d.doc_id, lower(left(text, 100) || ' ' || coalesce(string_agg(n_name || ', ' || r_name, ' ' ORDER BY n_nationkey), '')) AS t FROM documents d LEFT JOIN nation ON n_nationkey = d.doc_id % 25 OR n_nationkey = d.doc_id % 7 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY d.doc_id, text),
+t AS (SELECT d.doc_id, lower(left(coalesce(string_agg(n_name || ', ' || r_name, ' ' ORDER BY n_nationkey), '') || ' ' || text, 20000)) AS t FROM documents d LEFT JOIN nation ON n_nationkey = d.doc_id % 25 OR n_nationkey = d.doc_id % 7 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY d.doc_id, text),
 ts AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+'), ' ') || ' ' AS s FROM t),
 h AS (SELECT doc_id, n_name, r_name FROM ts JOIN g ON contains(s, n)),
 c AS (SELECT doc_id, list_sort(list(DISTINCT n_name)) AS countries, list_sort(list(DISTINCT r_name)) AS regions FROM h GROUP BY doc_id),
@@ -109,7 +109,7 @@ def entity_regions(spark, sf_dir):
     d = load(spark, sf_dir, "documents", "doc_id", "text")
     added = d.select("doc_id").join(F.broadcast(named), (COL("n_nationkey") == COL("doc_id") % 25) | (COL("n_nationkey") == COL("doc_id") % 7))
     added = added.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws(", ", "n_name", "r_name").alias("s")))).alias("a"))
-    t = d.join(added, "doc_id", "left").select("doc_id", F.concat(F.left(COL("text"), F.lit(100)), F.lit(" "), F.coalesce(F.array_join(F.transform("a", lambda x: x["s"]), " "), F.lit(""))).alias("text"))
+    t = d.join(added, "doc_id", "left").select("doc_id", F.left(F.concat(F.coalesce(F.array_join(F.transform("a", lambda x: x["s"]), " "), F.lit("")), F.lit(" "), "text"), F.lit(20_000)).alias("text"))
     names = named.filter(F.length("n_name") >= 4).select(F.array_join(T.tokens(COL("n_name")), " ").alias("gram"), "n_name", "r_name")
     ws = T.tokens(COL("text"))
     grams = t.select("doc_id", F.explode(F.array_distinct(F.concat(ws, T.shingles(ws, 2)))).alias("gram"))
@@ -123,11 +123,11 @@ _TAGS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}' END" fo
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, left(text, 100) || CASE doc_id % 5 WHEN 0 THEN ' the Sendai  Framework, SDGs' WHEN 1 THEN ' Paris Accord' WHEN 2 THEN ' HFA and IPOA' ELSE ' hfax' END AS text FROM documents)
+WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' the Sendai  Framework, SDGs' WHEN 1 THEN ' Paris Accord' WHEN 2 THEN ' HFA and IPOA' ELSE ' hfax' END || ' ' || text AS text FROM documents)
 SELECT doc_id, array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL), ',') AS frameworks FROM t
 """)
 def framework_tags(spark, sf_dir):
-    text = F.expr("left(text, 100) || CASE doc_id % 5 WHEN 0 THEN ' the Sendai  Framework, SDGs' WHEN 1 THEN ' Paris Accord' WHEN 2 THEN ' HFA and IPOA' ELSE ' hfax' END")
+    text = F.expr("CASE doc_id % 5 WHEN 0 THEN ' the Sendai  Framework, SDGs' WHEN 1 THEN ' Paris Accord' WHEN 2 THEN ' HFA and IPOA' ELSE ' hfax' END || ' ' || text")
     return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(T.tagged(text, T.FRAMEWORKS), ",").alias("frameworks"))
 
 
@@ -159,7 +159,7 @@ def enrichment_update(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, left(text, 80) AS body, CASE WHEN doc_id % 2 = 0 THEN ' ' || source || ' ' ELSE ' ' END AS title, CASE WHEN doc_id % 3 = 0 THEN [lang, source] ELSE [] END AS themes FROM documents)
+WITH d AS (SELECT doc_id, text AS body, CASE WHEN doc_id % 2 = 0 THEN ' ' || source || ' ' ELSE ' ' END AS title, CASE WHEN doc_id % 3 = 0 THEN [lang, source] ELSE [] END AS themes FROM documents)
 SELECT doc_id, concat_ws(' ', body, nullif(trim(title), ''), nullif(array_to_string(themes, ' '), ''), 'what is ' || doc_id || '?') AS indexable,
        concat_ws(chr(10), CASE WHEN trim(title) <> '' THEN 'Title: ' || trim(title) END, CASE WHEN len(themes) > 0 THEN 'Themes: ' || array_to_string(themes, ', ') END, '', body) AS embedded,
        '{' || concat_ws(',', '"doc_id":' || doc_id, '"title":"' || nullif(trim(title), '') || '"', CASE WHEN len(themes) > 0 THEN '"themes":["' || array_to_string(themes, '","') || '"]' END) || '}' AS payload FROM d
@@ -167,7 +167,7 @@ SELECT doc_id, concat_ws(' ', body, nullif(trim(title), ''), nullif(array_to_str
 def index_text_builders(spark, sf_dir):
     d = load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     themes = F.when(COL("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    d = d.select("doc_id", T.head(COL("text"), 80).alias("body"), T.present(F.when(COL("doc_id") % 2 == 0, F.concat(F.lit(" "), "source", F.lit(" "))).otherwise(" ")).alias("title"), themes.alias("themes"))
+    d = d.select("doc_id", COL("text").alias("body"), T.present(F.when(COL("doc_id") % 2 == 0, F.concat(F.lit(" "), "source", F.lit(" "))).otherwise(" ")).alias("title"), themes.alias("themes"))
     asked = F.concat(F.lit("what is "), COL("doc_id").cast("string"), F.lit("?"))
     full = F.nullif(COL("themes"), F.array().cast("array<string>"))
     return d.select(
@@ -196,15 +196,15 @@ def question_cleanup(spark, sf_dir):
 
 
 @query(r"""
-SELECT conv_id, string_agg('[P' || (turn + 1) || '] ' || left(text, 40), chr(10) ORDER BY turn) || chr(10) || 'Question: ' || conv_id || '?' AS prompt FROM conversations WHERE turn < 6 GROUP BY conv_id
+SELECT conv_id, string_agg('[P' || (turn + 1) || '] ' || text, chr(10) ORDER BY turn) || chr(10) || 'Question: ' || conv_id || '?' AS prompt FROM conversations WHERE turn < 6 GROUP BY conv_id
 """)
 def prompt_templates(spark, sf_dir):
     d = load(spark, sf_dir, "conversations").filter("turn < 6").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    passages = F.array_join(F.transform("p", lambda x: F.format_string("[P%d] %s", x["turn"] + 1, F.left(x["text"], F.lit(40)))), "\n")
+    passages = F.array_join(F.transform("p", lambda x: F.format_string("[P%d] %s", x["turn"] + 1, x["text"])), "\n")
     return d.select("conv_id", F.concat(passages, F.lit("\nQuestion: "), COL("conv_id").cast("string"), F.lit("?")).alias("prompt"))
 
 
-_ANSWER = "left(text, 60) || CASE turn % 5 WHEN 0 THEN ' This is NOT in the text.' WHEN 1 THEN ' It is not specified.' WHEN 2 THEN ' See [P2] and [P11][P2].' ELSE '' END"
+_ANSWER = "text || CASE turn % 5 WHEN 0 THEN ' This is NOT in the text.' WHEN 1 THEN ' It is not specified.' WHEN 2 THEN ' See [P2] and [P11][P2].' ELSE '' END"
 
 
 @query(rf"""
