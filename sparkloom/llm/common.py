@@ -76,3 +76,26 @@ def lean_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     if not 0 < int(conf.get(key, "10000")) <= rows:
         conf.set(key, str(rows))
     return df
+
+
+def released(run):
+    """A worker function over batches that gives freed memory back to the system when its task ends. Python workers outlive their tasks, and
+    what they keep for reuse would add up over an executor's workers."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not the GNU C library
+                pass
+
+    return wrapped

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, lean_batches, spare, stored, table
+from .common import SPACES, lean_batches, released, spare, stored, table
 
 WIDTH, LEAST = 5, 0.8
 RECALL = 0.9999
@@ -95,7 +95,7 @@ def marked(docs: DataFrame, runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "_k", "_n", "_paths"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, _k long, _n long, _paths array<long>")
+    return lean_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, _k long, _n long, _paths array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     w = wanted.select(F.col("doc_id").alias("_id"), "_k")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(w, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return texts.select("_k", "text").mapInArrow(run, "_k long, _set array<long>").dropDuplicates(["_k"])
+    return texts.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>").dropDuplicates(["_k"])
 
 
 def groups(batches, key: str):
@@ -196,7 +196,7 @@ def compared(rows: DataFrame, emit, schema: str) -> DataFrame:
             if len(out[0]):
                 yield pd.DataFrame(dict(zip([x.split()[0] for x in schema.split(", ")], out, strict=True)))
 
-    return rows.select("_g", "_side", "_k", "_set").repartition("_g").sortWithinPartitions("_g").mapInPandas(run, schema)
+    return rows.select("_g", "_side", "_k", "_set").repartition("_g").sortWithinPartitions("_g").mapInPandas(released(run), schema)
 
 
 def star(k: np.ndarray, found: np.ndarray):
@@ -254,7 +254,7 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
         if big.isEmpty():
             break
         kids = big.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_ps")).join(own, "_k")
-        open_ = kids.select("_k", F.transform("_ps", lambda x: x["_p"]).alias("_ps"), F.transform("_ps", lambda x: x["_m"]).alias("_ms"), "_set").mapInPandas(_split, "_p long, _k long, _above long").distinct()
+        open_ = kids.select("_k", F.transform("_ps", lambda x: x["_p"]).alias("_ps"), F.transform("_ps", lambda x: x["_m"]).alias("_ms"), "_set").mapInPandas(released(_split), "_p long, _k long, _above long").distinct()
         sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig"), F.max("_above").alias("_above")).filter("_m > 1")
         kept = stored(open_.select("_p", "_k").join(sized, "_p"))
         done = (F.col("_m") <= small) | (2 * F.col("_m") >= F.col("_above")) | F.lit(level == depth)
@@ -307,7 +307,7 @@ def counted_links(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"_k": g["_k"].to_numpy(), "n": found @ g["_w"].to_numpy(np.int64)})
 
     flat = rows.select("_g", "_side", "_k", F.col("_set._weight").alias("_w"), F.col("_set._set").alias("_set"))
-    return flat.repartition("_g").sortWithinPartitions("_g").mapInPandas(run, "_k long, n long")
+    return flat.repartition("_g").sortWithinPartitions("_g").mapInPandas(released(run), "_k long, n long")
 
 
 def join(docs: DataFrame, **limits) -> DataFrame:
@@ -338,7 +338,7 @@ def one_of_each(docs: DataFrame, **limits) -> DataFrame:
 
     # only rows whose id is kept are read in Python again
     near = docs.join(keep.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    own = near.select(F.col("text").cast("string").alias("_text_"), *cols).mapInArrow(run, schema)
+    own = near.select(F.col("text").cast("string").alias("_text_"), *cols).mapInArrow(released(run), schema)
     own = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(k) == F.col("_own")), "left_semi")
     return own.dropDuplicates(["doc_id", k]).select(*cols)
 

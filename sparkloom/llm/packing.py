@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoder, kept_by_worker, vocabulary_path
-from .common import lean_batches, stored, table
+from .common import lean_batches, released, stored, table
 
 SIZE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,7 +36,7 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = 0)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(cut), PIECES)
 
 
 def fullest(counts: dict[int, int], size: int) -> dict[int, int]:
@@ -119,7 +119,7 @@ def pack(pieces: DataFrame, size: int = SIZE, rows: int = 2_000) -> DataFrame:
             yield pdf
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(released(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, spare, table
+from .common import lean_batches, released, spare, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at most that the field's weights are fitted on, picked by a hash of their text among those with a candidate token.
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> SkipChain:
                 out.append(([[k for k in f if k not in hidden] for f in feats][:2000], forms[:2000], y.tolist()[:2000]))
             yield pd.DataFrame({"h": pdf["h"], "f": [o[0] for o in out], "form": [o[1] for o in out], "y": [o[2] for o in out]})
 
-    rows = some.filter(F.col("h") < int(share * (1 << 30))).mapInPandas(run, "h long, f array<array<int>>, form array<string>, y array<int>").orderBy("h", "form").collect()
+    rows = some.filter(F.col("h") < int(share * (1 << 30))).mapInPandas(released(run), "h long, f array<array<int>>, form array<string>, y array<int>").orderBy("h", "form").collect()
     return fit([([list(f) for f in r["f"]], list(r["form"]), list(r["y"])) for r in rows if r["y"]])
 
 
@@ -258,7 +258,7 @@ def scan(docs: DataFrame, field: SkipChain) -> DataFrame:
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {t}" for n, t in zip(names, ["long"] * 4 + [span] * 2 + ["string"], strict=True)]
-    return lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, ", ".join(fields))
+    return lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(released(run), ", ".join(fields))
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

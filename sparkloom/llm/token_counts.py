@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Memory, kept_by_worker, split_chunks, vocabulary_path
-from .common import lean_batches, spare, table
+from .common import lean_batches, released, spare, table
 
 
 class LongestMatch:
@@ -156,7 +156,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = lean_batches(docs).select(F.col(text).cast("string").alias("_text_"), *docs.columns)
-    return rows.mapInArrow(count, ", ".join(x for x in (fields, f"`{names[0]}` long, `{names[1]}` long") if x))
+    return rows.mapInArrow(released(count), ", ".join(x for x in (fields, f"`{names[0]}` long, `{names[1]}` long") if x))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

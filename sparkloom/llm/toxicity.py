@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, spare, stored, table
+from .common import lean_batches, released, spare, stored, table
 
 #: Labelled rows at most that the lexicon is mined from and the classifier is fitted on, picked by a hash of their id.
 SAMPLE = 20_000
@@ -169,14 +169,14 @@ def _counted(sample: DataFrame, target: str, least: int) -> list:
                 for f in features(text):
                     n[f] = n.get(f, 0) + 1
                     s[f] = s.get(f, 0.0) + y
-            if len(n) > 200_000:
+            if len(n) > 50_000:
                 yield pd.DataFrame({"f": list(n), "n": list(n.values()), "s": [s[f] for f in n]})
                 n, s = {}, {}
         yield pd.DataFrame({"f": pd.Series(list(n), dtype=str), "n": pd.Series(list(n.values()), dtype=float), "s": pd.Series([s[f] for f in n], dtype=float)})
 
     total = sample.agg(F.count("*"), F.sum(target)).first()
     base = (total[1] or 0.0) / max(total[0], 1)
-    counted = sample.select("text", target).mapInPandas(count, "f string, n double, s double").groupBy("f").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("n") >= least)
+    counted = sample.select("text", target).mapInPandas(released(count), "f string, n double, s double").groupBy("f").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("n") >= least)
     z = (F.col("s") - F.col("n") * base) / F.sqrt(F.col("n") * max(base * (1 - base), 1e-6))
     return counted.withColumn("z", z).filter(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "f").limit(5_000).collect()
 
@@ -209,7 +209,7 @@ def without_copies(rows: DataFrame, keys: int = 4) -> DataFrame:
             yield pdf.assign(least=out)
 
     own = F.struct(*rows.columns)
-    rows = rows.mapInPandas(least, "doc_id long, text string, y double, least array<long>").select(own.alias("row"), "least")
+    rows = rows.mapInPandas(released(least), "doc_id long, text string, y double, least array<long>").select(own.alias("row"), "least")
     for k in range(keys):
         rows = rows.groupBy(F.col("least")[k]).agg(F.min_by(F.struct("row", "least"), F.struct("row.doc_id", "row.text")).alias("one")).select("one.*")
     return rows.select("row.*")
@@ -264,12 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pdf.assign(votes=[votes(t) for t in pdf["text"]])[["votes", "y"]]
 
-    patterns = docs.select(text).mapInPandas(vote, "votes long").groupBy("votes").count().collect()
+    patterns = docs.select(text).mapInPandas(released(vote), "votes long").groupBy("votes").count().collect()
     bits, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], float)
     if not len(bits):
         return Model({}, -3.0)
     start = np.where(bits & ((1 << LEXICON_VOTERS) - 1), 0.8, 0.02)
-    anchors = rows.select("text", "y").mapInPandas(vote_known, "votes long, y double").groupBy("votes", "y").count().collect()
+    anchors = rows.select("text", "y").mapInPandas(released(vote_known), "votes long, y double").groupBy("votes", "y").count().collect()
     label = LabelModel(votes.count).fit(bits, counts, start, *([r[k] for r in anchors] for k in range(3)))
     if (counts * label.posterior(bits)).sum() <= 0:
         return Model({}, -3.0)
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             v = [votes(t) for t in pdf["text"]]
             yield pdf.assign(y=label.posterior(np.array(v, np.int64)) if v else [])
 
-    soft = stored(rows.mapInPandas(posterior, "doc_id long, text string, y double"))
+    soft = stored(rows.mapInPandas(released(posterior), "doc_id long, text string, y double"))
     names = [r["f"] for r in _own(_counted(soft, "y", 6))]
     at = {f: i for i, f in enumerate(names)}
 
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "at": [sorted(at[f] for f in features(t) if f in at) for t in pdf["text"]]})
 
-    data = soft.select("text", "y").mapInPandas(columns, "y double, at array<int>").toPandas()
+    data = soft.select("text", "y").mapInPandas(released(columns), "y double, at array<int>").toPandas()
     data["at"] = data["at"].map(tuple)
     data = data.sort_values(["y", "at"], kind="stable", ignore_index=True)
     if not len(data) or not names:
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names[1:]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(run, f"{fields}, `{names[1]}` double, `{names[2]}` int")
+    scored = lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(released(run), f"{fields}, `{names[1]}` double, `{names[2]}` int")
     return scored.withColumn(names[0], held_out(F.col("doc_id"))).select(*docs.columns, *names)
 
 
