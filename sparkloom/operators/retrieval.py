@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +136,55 @@ def pipelines(docs: DataFrame, queries: DataFrame, top_k: int = 100, pool: int =
         "hybrid": hybrid.filter(F.col("rank") <= top_k),
         "hybrid_rerank": rerank(hybrid.filter(F.col("rank") <= pool), queries, docs, top_k).drop("prior"),
     }
+
+
+def signatures(v: Column, tables: int, bits: int, seed: int = 7) -> Column:
+    """Sign bits on random hyperplanes, one number a table."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        x = np.stack([np.asarray(a, float) for a in vectors])
+        planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+        signs = (x @ planes > 0).reshape(len(x), tables, bits)
+        return pd.Series((signs << np.arange(bits)).sum(2).astype("int32").tolist())
+
+    return run(v)
+
+
+def nearly_nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int = 3) -> DataFrame:
+    """Approximate: a query meets the vectors that share its bucket in some table; their cosine is exact. Every vector is indexed; more
+    tables raise recall, more bits cut work. Buckets are equi-joined, so nothing is compared across them."""
+    placed = vectors.select("doc_id", F.posexplode(signatures(F.col("v"), tables, bits)).alias("t", "b"))
+    asked = queries.select("query_id", F.posexplode(signatures(F.col("q"), tables, bits)).alias("t", "b"))
+    pairs = placed.join(small(asked), ["t", "b"]).select("query_id", "doc_id").distinct()
+    scored = pairs.join(vectors, "doc_id").join(small(queries), "query_id").select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return top(scored, k).select("query_id", "doc_id", "rank", "score")
+
+
+def diverse(ranked: DataFrame, key: str, term: str, score: str, k: int = 10, diversity: float = 0.5) -> DataFrame:
+    """Maximal marginal relevance over each key's short candidate list: next comes the term with the best mix of its score and its distance
+    (shared letters' trigrams) from what is chosen. key, term, place."""
+    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), F.col(term).alias("t")))).alias("c"))
+
+    def pick(batches):
+        def one(cands):
+            if not len(cands):
+                return []
+            best = max(c["s"] for c in cands) or 1.0
+            grams = {c["t"]: {c["t"][i : i + 3] for i in range(max(1, len(c["t"]) - 2))} for c in cands}
+            like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            rel, out = {c["t"]: c["s"] / best for c in cands}, []
+            while rel and len(out) < k:
+                t = max(sorted(rel), key=lambda t: (1 - diversity) * rel[t] - diversity * max((like(t, o) for o in out), default=0.0))
+                out.append(t)
+                del rel[t]
+            return out
+
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "terms": [one(c) for c in pdf["c"]]})
+
+    kind = ranked.schema[key].dataType.simpleString()
+    return lists.mapInPandas(pick, f"`{key}` {kind}, terms array<string>").select(key, F.posexplode("terms").alias("place", "term"))

@@ -257,3 +257,14 @@ def citation_strata(spark, sf_dir):
     a, b = F.contains("text", F.lit("a")), F.contains("text", F.lit("z"))
     s = F.when(a & b, "both").when(a, "first_only").when(b, "second_only").otherwise("neither")
     return load(spark, sf_dir, "conversations").filter("turn = 1").groupBy(s.alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT user_id AS q, event_id % 6 AS passage, CASE WHEN event_id % 31 = 0 THEN NULL ELSE value / 10 END AS lp FROM events), f AS (SELECT q, avg(lp) AS full_lp FROM e GROUP BY q), m AS (SELECT q, passage, CASE WHEN count(*) = count(lp) THEN avg(lp) END AS masked FROM e GROUP BY ALL)
+SELECT q, passage, round(full_lp - masked, 6) AS drop FROM m JOIN f USING (q)
+""".replace("AS drop FROM", 'AS "drop" FROM'))
+def leave_one_out(spark, sf_dir):
+    """How much the answer's log probability falls without each passage; null where a passage was not found in the prompt."""
+    e = load(spark, sf_dir, "events").select(COL("user_id").alias("q"), (COL("event_id") % 6).alias("passage"), F.when(COL("event_id") % 31 != 0, COL("value") / 10).alias("lp"))
+    m = e.groupBy("q", "passage").agg(F.when(F.count("*") == F.count("lp"), F.avg("lp")).alias("masked"))
+    return m.join(e.groupBy("q").agg(F.avg("lp").alias("full_lp")), "q").select("q", "passage", F.round(COL("full_lp") - COL("masked"), 6).alias("drop"))

@@ -183,3 +183,19 @@ def keyword_tfidf(spark, sf_dir):
     counts, vocabulary, n = _keywords(spark, sf_dir)
     scored = counts.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(COL("tf") * F.log(COL("n") / COL("df")), 6))
     return R.top(scored.select(COL("doc_id").alias("query_id"), COL("term").alias("doc_id"), "score"), 10).select(COL("query_id").alias("doc_id"), COL("doc_id").alias("term"), "rank", "score")
+
+
+@query()
+def keyword_mmr(spark, sf_dir):
+    """Ten diverse keywords a document, out of its thirty best by tf-idf."""
+    counts, vocabulary, n = _keywords(spark, sf_dir)
+    scored = counts.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(COL("tf") * F.log(COL("n") / COL("df")), 6))
+    best = R.top(scored.select(COL("doc_id").alias("query_id"), COL("term").alias("doc_id"), "score"), 30)
+    return R.diverse(best.select(COL("query_id").alias("doc_id"), COL("doc_id").alias("term"), "score"), "doc_id", "term", "score")
+
+
+@query()
+def approximate_knn(spark, sf_dir):
+    """Vectors whose id is divisible by 20 against all vectors, through hashed buckets."""
+    e = load(spark, sf_dir, "embeddings")
+    return R.nearly_nearest(e.select(COL("vec_id").alias("doc_id"), COL("embedding").alias("v")), e.filter("vec_id % 20 = 0").select(COL("vec_id").alias("query_id"), COL("embedding").alias("q")), 10)

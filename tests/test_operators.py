@@ -155,3 +155,18 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert retrieval.bm25(retrieval.build_index(docs, F.col("text")), q, 3).count() == 0
     assert chunking.chunks(spark.createDataFrame([], "slug string, page int, text string"), 5).count() == 0
+
+
+def test_approximate_neighbours_find_nine_in_ten(spark):
+    from sparkloom.plans import queries
+
+    from harness import SMALL
+
+    exact, near = ({(r["query_id"], r["doc_id"]) for r in queries()[n](spark, SMALL).collect()} for n in ("cosine_topk", "approximate_knn"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_diverse_terms_avoid_repeats(spark):
+    df = spark.createDataFrame([(1, "flooding", 1.0), (1, "flooded", 0.95), (1, "policy", 0.8)], "k long, t string, s double")
+    got = [r["term"] for r in retrieval.diverse(df, "k", "t", "s", 2).orderBy("place").collect()]
+    assert got == ["flooding", "policy"]
