@@ -98,8 +98,9 @@ def marked(docs: DataFrame, runs: int) -> DataFrame:
     return lean_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, _k long, _n long, _paths array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_k, _set for the wanted (doc_id, _k): their texts are read again, so no set of a document without a partner is ever stored."""
+def sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """_k, _set for the wanted (doc_id, _k): their texts are read again, so no set of a document without a partner is ever stored.
+    ``repeated``: some rows have equal ids and equal sets, so a wanted set may come more than once."""
 
     def run(batches):
         import pyarrow as pa
@@ -114,7 +115,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     w = wanted.select(F.col("doc_id").alias("_id"), "_k")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(w, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return texts.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>").dropDuplicates(["_k"])
+    found = texts.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>")
+    return found.dropDuplicates(["_k"]) if repeated else found
 
 
 def groups(batches, key: str):
@@ -248,7 +250,8 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
     kept = stored(open_.join(sized, "_p"))
     wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id"), "_k")
-    own = stored(sets_of(docs, wanted))
+    repeated = not rows.groupBy("doc_id", "_k").count().filter("count > 1").isEmpty()
+    own = stored(sets_of(docs, wanted, repeated))
     leaves, big = [kept.filter(F.col("_m") <= small)], kept.filter(F.col("_m") > small)
     for level in range(3, depth + 1):
         if big.isEmpty():
