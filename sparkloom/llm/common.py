@@ -38,6 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """df, after asking the driver to collect its garbage: Spark deletes the shuffle files of a plan once the plan is collected, which would
+    else be at some later time, and those of tables already written would fill the disks until then."""
+    import gc
+
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once a row, however often and in whatever lambda use() refers to it."""
     return F.transform(F.array(value), use)[0]

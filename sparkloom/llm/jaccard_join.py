@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, lean_batches, released, spare, stored, table
+from .common import SPACES, freed, lean_batches, released, spare, stored, table
 
 WIDTH, LEAST = 5, 0.8
 RECALL = 0.9999
@@ -251,7 +251,7 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     kept = stored(open_.join(sized, "_p"))
     wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id"), "_k")
     repeated = not rows.groupBy("doc_id", "_k").count().filter("count > 1").isEmpty()
-    own = stored(sets_of(docs, wanted, repeated))
+    own = freed(stored(sets_of(docs, wanted, repeated)))
     leaves, big = [kept.filter(F.col("_m") <= small)], kept.filter(F.col("_m") > small)
     for level in range(3, depth + 1):
         if big.isEmpty():
@@ -269,7 +269,7 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     one = leaf.groupBy("_m", "_sig").agg(F.min("_p").alias("_p")).select("_p")
     leaf = leaf.join(one, "_p", "left_semi").select("_p", "_m", "_k").join(own, "_k")
     edges = compared(blocks(leaf, "_p", block), star, "a long, b long")
-    parts = stored(components(edges))
+    parts = freed(stored(components(edges)))
 
     sized = parts.groupBy("root").agg(F.count("*").alias("_m"))
     members = parts.join(sized, "root").select("root", "_m", F.col("node").alias("_k")).join(own, "_k").join(sets.select("_k", "_weight"), "_k")
@@ -277,7 +277,7 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     found = counted_links(rows_of).groupBy("_k").agg(F.sum("n").alias("n"))
     every = sets.select("_k", "doc_id", "_weight").join(parts.select(F.col("node").alias("_k"), "root"), "_k", "left").join(found, "_k", "left")
     every = every.select("_k", F.coalesce("root", "_k").alias("_class"), (F.coalesce("n", F.lit(0)) + F.col("_weight") - 1).cast("long").alias("_links"), "_weight", F.col("doc_id").alias("_first"))
-    return rows.select("doc_id", "_k"), stored(every)
+    return rows.select("doc_id", "_k"), freed(stored(every))
 
 
 def _split(batches):
