@@ -16,11 +16,12 @@ SMALL, DEPTH, BLOCK = 500, 6, 512
 
 
 def runs_for(recall: float = RECALL, depth: int = 2) -> int:
-    """Runs until a pair at the bound is met with that probability. A pair of equal size with Jaccard j shares 2j / (1 + j) of a set, each
-    shared token is chosen with 1 / (j size), so common children are Poisson with mean 2 / (1 + j); survival to ``depth`` follows."""
-    mean, lost = 2 / (1 + LEAST), 0.0
+    """Runs until every pair at the bound is met with that probability. A pair that shares o tokens has o / (LEAST * the larger size) common
+    children at a node on average, as Poisson or surer. At the bound that is 2 / (1 + LEAST) for equal sizes and least, 1, where one set
+    holds the other, so 1 is taken; survival to ``depth`` follows."""
+    lost = 0.0
     for _ in range(depth):
-        lost = math.exp(mean * (lost - 1))
+        lost = math.exp(lost - 1)
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
@@ -77,11 +78,16 @@ def children(s: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, mixed(x[i, j] ^ nodes[i])
 
 
+def roots_of(first: int, last: int) -> np.ndarray:
+    """The roots of runs first to last - 1."""
+    with np.errstate(over="ignore"):
+        return mixed(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
 def marked(docs: DataFrame, runs: int) -> DataFrame:
     """doc_id, _k (key of the document's set), _n (its size), _paths (the nodes it chooses two levels below the root of each run: one shared
     passage puts many documents together at the first level, hardly ever at the second)."""
-    with np.errstate(over="ignore"):
-        roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    roots = roots_of(0, runs)
 
     def run(batches):
         import pyarrow as pa
@@ -119,6 +125,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     return found.dropDuplicates(["_k"]) if repeated else found
 
 
+def marked_again(own: DataFrame, first: int, last: int) -> DataFrame:
+    """own: _k, _set. _k, _paths: the nodes that each set chooses two levels below the roots of runs first to last - 1."""
+    roots = roots_of(first, last)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["_set"]]
+            yield pd.DataFrame({"_k": pdf["_k"], "_paths": [np.unique(children(s, children(s, roots)[1])[1].view(np.int64)) for s in sets]})
+
+    return own.select("_k", "_set").mapInPandas(released(run), "_k long, _paths array<long>")
+
+
 def groups(batches, key: str):
     """Whole groups of a key from batches that are sorted by it."""
     import pandas as pd
@@ -239,7 +259,8 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
 
     1. Documents with equal sets are one set, with their number as weight. 2. In each of ``runs_for(recall)`` runs a set chooses tokens and
     goes to a bucket for each. A bucket of one set ends; one of up to ``small`` is kept; a larger one is split once more by tokens chosen
-    below it, down to ``depth``, and kept whole there. 3. Kept buckets with the same members are one. All pairs inside a bucket are compared
+    below it, down to ``depth``, and kept whole there. Those runs are enough for two levels; a pair that only larger buckets hold may be lost
+    further down, so the sets in larger buckets take part in more runs, ``runs_for(recall, depth)`` in all. 3. Kept buckets with the same members are one. All pairs inside a bucket are compared
     exactly (large buckets in pairs of blocks); only edges that span what is linked leave it. 4. Connected parts are the classes. 5. Inside
     each class all pairs are compared once more to count each document's links, so links that no run met count too.
     """
@@ -253,6 +274,15 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     repeated = not rows.groupBy("doc_id", "_k").count().filter("count > 1").isEmpty()
     own = freed(stored(sets_of(docs, wanted, repeated)))
     leaves, big = [kept.filter(F.col("_m") <= small)], kept.filter(F.col("_m") > small)
+    if depth <= 2:
+        leaves.append(big)
+    elif not big.isEmpty():
+        again = marked_again(big.select("_k").distinct().join(own, "_k"), runs_for(recall), runs_for(recall, depth))
+        open_ = stored(again.select(F.explode("_paths").alias("_p"), "_k"))
+        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
+        kept = stored(open_.join(sized, "_p"))
+        leaves.append(kept.filter(F.col("_m") <= small))
+        big = big.unionByName(kept.filter(F.col("_m") > small).select(*big.columns))
     for level in range(3, depth + 1):
         if big.isEmpty():
             break

@@ -169,6 +169,21 @@ def test_jaccard_join_against_brute_force(spark, limits):
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(docs, **limits).collect()) == sorted(set(part))
 
 
+def test_jaccard_join_finds_contained_texts_in_large_buckets(spark):
+    """Pairs at the bound, one text held by the other, made of passages that a third of all texts share: their buckets are split on and on."""
+    random.seed(11)
+    texts, chosen = [], []
+    while len(chosen) < 400:
+        new = random.choices(range(3), k=12)
+        if all(sum(a != b for a, b in zip(new, old, strict=True)) > 2 for old in chosen):
+            text = " ".join(f"p{at}v{v}w{i}" for at, v in enumerate(new) for i in range(20))
+            texts += [text, text + "".join(f" own{len(chosen)}w{i}" for i in range(59))]
+            chosen.append(new)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard_join.join(docs, recall=0.999, small=2).collect()}
+    assert [i for i in range(len(texts)) if (got[i]["class_id"], got[i]["n_links"]) != (i - i % 2, 1)] == []
+
+
 def test_jaccard_join_odd_rows(spark, odd, none):
     assert jaccard_join.join(odd).count() == len(ODD) and jaccard_join.join(none).count() == 0
     kept = jaccard_join.one_of_each(clashing(odd, "_k"))
