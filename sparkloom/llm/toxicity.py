@@ -69,12 +69,14 @@ class Votes:
         self.count = LEXICON_VOTERS + 7
 
     def __call__(self, text: str) -> int:
-        ws = distinct_words(text)
-        hits, bits, some = self.of(ws), 0, text[:100_000:7]
+        low = text.lower()
+        ws = set(_WORD.findall(low))
+        hits, bits = self.of(ws), 0
         for v in hits:
             bits |= 1 << v
-        n, loud = len(hits), sum(map(operator.ne, some, some.lower()))
-        more = (n >= 3, n * 100 >= max(len(ws), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), loud * 3 > len(some), bool(_THREAT.search(text)), n == 0)
+        # a few letters (İ) get longer in lower case and would shift all that follows: then letter by letter
+        n, loud = len(hits), sum(map(operator.ne, text, low if len(low) == len(text) else map(str.lower, text)))
+        more = (n >= 3, n * 100 >= max(len(ws), 1), bool(_TEMPLATE.search(text)), bool(_MASKED.search(text)), loud * 3 > len(text), bool(_THREAT.search(text)), n == 0)
         return bits | sum(1 << LEXICON_VOTERS + k for k, yes in enumerate(more) if yes)
 
 

@@ -95,6 +95,14 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.fit(docs, lab.filter("false"))).count() == len(ODD)
 
 
+def test_shouting_is_judged_on_the_whole_text():
+    votes = toxicity.Votes(["zorblefoo"])
+    loud = lambda text: votes(text) >> toxicity.LEXICON_VOTERS + 4 & 1
+    assert loud("calm tree " * 10_000 + "LOUD TREES " * 30_000) and not loud("LOUD TREES " * 10_000 + "calm tree " * 40_000)
+    assert loud("abcdefGHIJKLM") and not loud("Abcdefghijklmn")
+    assert not loud("\u0130 calm river") and loud("\u0130 CALM RIVER") and not loud("")
+
+
 class LabelModelAlone(toxicity.LabelModel):
     """Without pairs."""
 
