@@ -152,10 +152,12 @@ def percentile_profile(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(q)), 6).alias(n) for n, q in p.items()), *under)
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, most=3):
+    """(document, sentence) pairs. The SQL of score_pairs, keep_fraction and holdout_split fixes the first three sentences of a document, as
+    the questions it would have got; with None all sentences are taken."""
     d = load(spark, sf_dir, "documents", "doc_id", "text")
     q = F.filter(F.transform(F.split("text", r"\."), F.trim), lambda s: s != "")
-    return d.select("doc_id", F.posexplode(F.slice(q, 1, 3)).alias("q_idx", "question"), T.tokens(COL("text")).alias("ws"))
+    return d.select("doc_id", F.posexplode(q if most is None else F.slice(q, 1, most)).alias("q_idx", "question"), T.tokens(COL("text")).alias("ws"))
 
 
 _PAIRS = r"""SELECT doc_id, q_idx, question, len(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+')) AS nq, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+')), list_distinct(ws))) AS hit, len(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+'))) AS nd
@@ -227,14 +229,14 @@ def resume_anti_join(spark, sf_dir):
 
 @query()
 def generated_questions(spark, sf_dir):
-    """The generator port with its offline stand-in, cleaned by the question parser."""
-    d = load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.left("text", F.lit(300)).alias("prompt"))
+    """The generator port with its offline stand-in, given whole texts, cleaned by the question parser."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", COL("text").alias("prompt"))
     made = ports.generate(d, lambda: ports.first_sentence_asker(), "prompt", "raw")
     return made.select("doc_id", F.array_join(T.parse_questions(COL("raw"), 3), "|").alias("questions"))
 
 
 @query()
 def cross_encoder_port(spark, sf_dir):
-    """The pair scorer port with its offline stand-in."""
+    """The pair scorer port with its offline stand-in, for every sentence of every document."""
     score = ports.score_pairs(lambda: ports.overlap_scorer())
-    return _pairs(spark, sf_dir).select("doc_id", "q_idx", score(F.array_join("ws", " "), COL("question")).alias("score"))
+    return _pairs(spark, sf_dir, None).select("doc_id", "q_idx", score(F.array_join("ws", " "), COL("question")).alias("score"))

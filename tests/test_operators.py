@@ -170,3 +170,13 @@ def test_diverse_terms_avoid_repeats(spark):
     df = spark.createDataFrame([(1, "flooding", 1.0), (1, "flooded", 0.95), (1, "policy", 0.8)], "k long, t string, s double")
     got = [r["term"] for r in retrieval.diverse(df, "k", "t", "s", 2).orderBy("place").collect()]
     assert got == ["flooding", "policy"]
+
+
+def test_ports_see_every_sentence_and_whole_texts(spark, tmp_path):
+    from sparkloom.plans import stat_plans
+
+    spark.createDataFrame([(1, "One is here. Two is here. Three. Four. Five."), (2, " " * 300 + "what does the end of this text say")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["q_idx"]) for r in stat_plans.cross_encoder_port(spark, str(tmp_path)).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
+    asked = {r["doc_id"]: r["questions"] for r in stat_plans.generated_questions(spark, str(tmp_path)).collect()}
+    assert asked[2] == "What does the end of this?"
