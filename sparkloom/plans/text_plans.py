@@ -111,12 +111,16 @@ def entity_regions(spark, sf_dir):
     added = added.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws(", ", "n_name", "r_name").alias("s")))).alias("a"))
     t = d.join(added, "doc_id", "left").select("doc_id", F.left(F.concat(F.coalesce(F.array_join(F.transform("a", lambda x: x["s"]), " "), F.lit("")), F.lit(" "), "text"), F.lit(20_000)).alias("text"))
     names = named.filter(F.length("n_name") >= 4).select(F.array_join(T.tokens(COL("n_name")), " ").alias("gram"), "n_name", "r_name")
+    spoken = region.select(F.lower("r_name").alias("gram"), "r_regionkey", "r_name")
+    longest = names.select("gram").unionByName(spoken.select("gram")).agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
     ws = T.tokens(COL("text"))
-    grams = t.select("doc_id", F.explode(F.array_distinct(F.concat(ws, T.shingles(ws, 2)))).alias("gram"))
+    grams = t.select("doc_id", F.explode(F.array_distinct(F.concat(ws, *(T.shingles(ws, k) for k in range(2, longest + 1))))).alias("gram"))
     hits = grams.join(F.broadcast(names), "gram").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("n_name")), "|").alias("countries"), F.array_join(F.array_sort(F.collect_set("r_name")), "|").alias("regions"))
-    vocabulary = T.texts([r[0] for r in region.orderBy("r_regionkey").limit(100).select("r_name").collect()])
-    said = F.array_join(T.mentioned(COL("text"), vocabulary), "|").alias("said")
-    return t.select("doc_id", said).join(hits, "doc_id", "left").select("doc_id", F.coalesce("countries", F.lit("")).alias("countries"), F.coalesce("regions", F.lit("")).alias("regions"), "said")
+    said = grams.join(F.broadcast(spoken), "gram").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("m"))
+    said = said.select("doc_id", F.array_join(F.transform("m", lambda x: x["r_name"]), "|").alias("said"))
+    out = t.select("doc_id").join(hits, "doc_id", "left").join(said, "doc_id", "left")
+    return out.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("countries", "regions", "said")))
+
 
 
 _TAGS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}' END" for k, p in T.FRAMEWORKS.items())

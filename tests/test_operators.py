@@ -180,3 +180,15 @@ def test_ports_see_every_sentence_and_whole_texts(spark, tmp_path):
     assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
     asked = {r["doc_id"]: r["questions"] for r in stat_plans.generated_questions(spark, str(tmp_path)).collect()}
     assert asked[2] == "What does the end of this?"
+
+
+def test_entity_regions_of_long_names_and_many_regions(spark, tmp_path):
+    from harness import assert_equal
+    from sparkloom import plans
+
+    spark.createDataFrame([(k, f"REGION{k}") for k in range(120)], "r_regionkey long, r_name string").coalesce(1).toPandas().to_parquet(tmp_path / "region.parquet")
+    spark.createDataFrame([(40, "Isles Of The Far North", 119), (3, "Peru", 1)], "n_nationkey long, n_name string, n_regionkey long").toPandas().to_parquet(tmp_path / "nation.parquet")
+    spark.createDataFrame([(1, "the isles of the far north and region118"), (2, "none")], "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    out = plans.queries()["entity_regions"](spark, str(tmp_path))
+    assert out.filter("doc_id = 1").first()["countries"] == "Isles Of The Far North"
+    assert_equal(out, plans.oracles()["entity_regions"], str(tmp_path))
