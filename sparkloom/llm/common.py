@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a temporary one; a
+    cluster's executors would not see that, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,6 +56,32 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running_sums(values: Column, width: int = 32, levels: int = 3) -> Column:
+    """For an array of numbers: the sum of all before each, as array of long. Linear but for the last level.
+
+    A fold that appends to an array copies it at every step, so only blocks of ``width`` are folded; where blocks start is the running sum
+    of their totals, one level up. After three levels of 32 the top fold is over a thousandth of the items.
+    """
+
+    def fold(xs: Column, start: Column) -> Column:
+        acc = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, acc, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def sums(xs: Column, level: int) -> Column:
+        if level == 1:
+            return fold(xs, F.lit(0).cast("bigint"))
+        places = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), F.lit(width))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(places, lambda i: F.slice(xs, i, width))
+
+        def inside(bs: Column) -> Column:
+            totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
+            return let(let(totals, lambda t: sums(t, level - 1)), lambda starts: F.flatten(F.transform(bs, lambda b, i: fold(b, F.get(starts, i)))))
+
+        return let(blocks, inside)
+
+    return let(values.cast("array<bigint>"), lambda xs: sums(xs, levels))
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; null has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, spare, table
+from .common import let, running_sums, spare, stored, table
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ RULES = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN (RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY( BLOCK)?-----"),
-    Rule("url", r"[a-z]{3,10}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]{1,255}"),
+    Rule("url", r"[a-z]{3,10}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@[A-Za-z0-9.-]+"),
 )
 BASE = 3
 
@@ -116,6 +118,11 @@ def trigram_query(pattern: str) -> Query:
 # --- the index and its use ----------------------------------------------------------------------------------------------------------
 
 
+#: Candidates up to so many are sent to every executor (12 bytes each); more are joined by a shuffle.
+BROADCAST = 500_000
+SIZES = "array<struct<gap:int,hit:int,good:boolean>>"
+
+
 def row_key(docs: DataFrame) -> Column:
     """Rows with equal keys hold the same text, but for chance; a chance meeting only makes more candidates, which are verified."""
     ident = [F.col("doc_id")] if "doc_id" in docs.columns else []
@@ -123,56 +130,73 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """The inverted index over the trigrams that some query asks for: trigram, key; a row a distinct trigram of a text in lower case."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = let(low, lambda t: F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(t, w)))
-    return docs.select(row_key(docs).alias("_key"), F.explode(held).alias("trigram"))
+    """The inverted index: trigram, key; a row a distinct trigram of a text in lower case, for the trigrams that some query can ask for.
+
+    All trigrams whose three letters stand in the wanted ones at their place are read off in one pass over the text, overlapping ones too.
+    """
+    place = lambda k: "[" + "".join(sorted({f"\\x{{{ord(w[k]):x}}}" for w in wanted})) + "]"
+    every = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(f"(?s)(?=({place(0)}{place(1)}{place(2)}))"), F.lit(1))
+    return docs.select(row_key(docs).alias("_key"), F.explode(F.array_intersect(every, F.array(*map(F.lit, wanted)))).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """_key, _rules: the numbers of the rules whose trigram query a text meets. Postings are met with the queries' trigrams (a table of a
-    few hundred rows) and intersected by counting, first a set's trigrams, then a rule's clauses."""
-    spark = docs.sparkSession
-    parts = [(g, r, c, a, len(s)) for r, rule in enumerate(rules) for c, clause in enumerate(trigram_query(rule.pattern)) for a, s in enumerate(clause) for g in s]
-    clauses = {r: c + 1 for _, r, c, _, _ in parts}
-    asked = spark.createDataFrame(parts or [("", 0, 0, 0, 1)], "trigram string, rule int, clause int, part int, size int")
-    need = F.element_at(F.create_map(*[F.lit(x) for p in sorted(clauses.items()) for x in p]), F.col("rule")) if clauses else F.lit(1)
-    lists = postings(docs, sorted({p[0] for p in parts}) or ["\0\0\0"]).distinct()
-    whole = lists.join(F.broadcast(asked), "trigram").groupBy("_key", "rule", "clause", "part", "size").count().filter("count = size")
-    met = whole.groupBy("_key", "rule").agg(F.count_distinct("clause").alias("met")).filter(F.col("met") == need)
-    return met.groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
-
-
-def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """A rule's spans in a text, as array of (start, rank, kind, end): matches and the gaps between them, measured one after the other."""
-    hits = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("own"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-
-    def step(acc, h):
-        start = acc["at"] + F.length(h["gap"])
-        end = start + F.length(F.coalesce(h["hit"], F.lit("")))
-        span = F.struct(start.alias("start"), F.lit(number).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        good = h["hit"].isNotNull() & (F.length(h["own"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
-
-
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """_key, _rules: as bits of an int, the rules whose trigram query a text meets; texts that meet none are left out.
+
+    Postings are brought together by key, at most as many as the queries ask for, and intersected as each query says: all trigrams of a
+    set, one set of each clause, all clauses. Only keys and trigrams are shuffled, never texts.
+    """
+    queries = [trigram_query(r.pattern) for r in rules]
+    wanted = sorted({g for q in queries for clause in q for part in clause for g in part}) or ["\0\0\0"]
+    held = postings(docs, wanted).groupBy("_key").agg(F.collect_set("trigram").alias("_held"))
+
+    def all_of(part: frozenset[str]) -> Column:
+        return F.size(F.array_intersect("_held", F.array(*map(F.lit, sorted(part))))) == len(part)
+
+    bits = F.lit(0)
+    for k, q in enumerate(queries):
+        if q:
+            met = reduce(and_, (reduce(or_, map(all_of, clause)) for clause in q))
+            bits = bits + F.when(met, F.lit(1 << k)).otherwise(F.lit(0))
+    return held.select("_key", bits.alias("_rules")).filter("_rules <> 0")
+
+
+def sizes_of(text: Column, rule: Rule) -> Column:
+    """A rule's matches in a text: lengths of the gap before each and of the match, and whether it is long enough."""
+    cells = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("own"))
+    sizes = F.transform(F.filter(cells, lambda h: h["hit"].isNotNull()), lambda h: F.struct(F.length(h["gap"]).alias("gap"), F.length(h["hit"]).alias("hit"), (F.length(h["own"]) >= rule.least).alias("good")))
+    return F.when(text.rlike(rule.pattern), sizes).otherwise(F.array().cast(SIZES))
+
+
+def placed(found: Column) -> Column:
+    """The spans of one rule: where matches start is the sum of all gaps and matches before."""
+
+    def span(c, at):
+        start = (at + c["gap"]).cast("int")
+        return F.struct(start.alias("start"), found["rank"].alias("rank"), found["kind"].alias("kind"), (start + c["hit"]).alias("end"))
+
+    before = running_sums(F.transform(found["cells"], lambda c: c["gap"] + c["hit"]))
+    spans = let(before, lambda at: F.transform(found["cells"], lambda c, i: F.when(c["good"], span(c, F.get(at, i)))))
+    return F.filter(spans, lambda s: s.isNotNull())
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast: int = BROADCAST) -> DataFrame:
     """docs' columns, then secrets: array of (start, rank, kind, end) by start, then rule; code points, end exclusive.
 
-    Only candidates are verified; rules without mandatory trigrams look at every text. Null text counts as empty (no secret), repeated
-    rows stay, empty tables give empty results, and a column that docs already calls secrets moves the added one to secrets_.
+    Only candidates are verified; rules without mandatory trigrams look at every text. The candidates' keys are a written table; up to
+    ``broadcast`` of them go to the texts, so texts do not move; more are joined by a shuffle. Null text counts as empty (no secret), repeated
+    rows stay, ties go by rule, empty tables give empty results, and a column that docs already calls secrets moves the added one to secrets_.
     """
     (name,) = spare(docs, "secrets")
     key, found = spare(docs, "_key", "_rules")
-    near = candidates(docs, rules).select(F.col("_key").alias(key), F.col("_rules").alias(found))
-    full = {k for k, r in enumerate(rules) if not trigram_query(r.pattern)}
+    near = stored(candidates(docs, rules).select(F.col("_key").alias(key), F.col("_rules").alias(found)))
+    if near.count() <= broadcast:
+        near = F.broadcast(near)
     joined = docs.withColumn(key, row_key(docs)).join(near, key, "left")
-    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    each = [spans_of(text, r, k) if k in full else F.when(F.array_contains(found, k), spans_of(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return joined.withColumn(name, F.array_sort(F.concat(*each))).select(*docs.columns, name)
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast(SIZES)
+    full = {k for k, r in enumerate(rules) if not trigram_query(r.pattern)}
+    near_rule = lambda k: F.lit(True) if k in full else F.coalesce(F.col(found).bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))
+    each = [F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), F.when(near_rule(k), sizes_of(text, r)).otherwise(none).alias("cells")) for k, r in enumerate(rules)]
+    return joined.withColumn(name, F.array_sort(F.flatten(F.transform(F.array(*each), placed)))).select(*docs.columns, name)
 
 
 def written(spans: Column) -> Column:
@@ -180,6 +204,7 @@ def written(spans: Column) -> Column:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a row each: the contract's counts and digest, and all spans as one string."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == k)).cast("long").alias(f"n_{RULES[k].kind}")
     base = F.filter("secrets", lambda s: s["rank"] < BASE)
