@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex_digest, spare, table
+from .common import hex_digest, let, running_sums, table
 
 OPEN, PART, END = "### ", "</part>", "</turn>\n"
 #: What stands for a control string inside a text. The backslash itself comes first when escaping and last when reading.
@@ -37,37 +37,47 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     backslash becomes ``\\b``, ``###`` ``\\h``, ``</turn>`` ``\\e``, ``</part>`` ``\\p`` (and a newline in a role ``\\n``), so that no
     control string is left inside a text and ``read_chats`` gives all of it back. Rows go by turn (null first), then role, then text, so
     equal turn numbers and repeated rows have one order; all of them stay. Null role and null text are empty; null keys form one
-    conversation; an empty table gives an empty result. A conversation is one output value, so one task holds one conversation at a time.
+    conversation; an empty table gives an empty result; columns other than key, turn, role and text are not carried. A conversation is one
+    output value, so one task holds one conversation at a time; its work is linear in the turns.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy(F.col(key)).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
-    empty = F.array().cast("array<struct<role:string,parts:array<string>>>")
+    chats = turns.groupBy(F.col(key).alias("_conv")).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
 
-    def merge(blocks, t):
-        last = F.element_at(blocks, -1)
-        new = F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("parts"))
-        more = F.struct(last["role"].alias("role"), F.concat(last["parts"], F.array(escape(t["text"]))).alias("parts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(more))).otherwise(F.concat(blocks, F.array(new)))
+    def merged(ts: Column) -> Column:
+        """Runs of one role: where each begins, then its slice of the turns."""
+        same = lambda t, i: F.coalesce(F.get(ts, i - 1)["role"] == t["role"], F.lit(False))
+        firsts = F.filter(F.transform(ts, lambda t, i: F.when(~same(t, i), i)), lambda i: i.isNotNull())
+        run = lambda fs, i, j: F.slice(ts, i + 1, F.coalesce(F.get(fs, j + 1), F.size(ts)) - i)
+        return let(firsts, lambda fs: F.transform(fs, lambda i, j: F.struct(F.get(ts, i)["role"].alias("role"), F.transform(run(fs, i, j), lambda t: escape(t["text"])).alias("parts"))))
 
-    def head(b):
+    def head(b: Column) -> Column:
         return F.concat(F.lit(OPEN), escape_role(b["role"]), F.lit("\n"))
 
-    chats = chats.withColumn("_blocks", F.aggregate("_turns", empty, merge))
+    def cells(b: Column, j: Column) -> Column:
+        """A text's length and that of the control strings since the text before it."""
+        first = F.length(head(b)) + F.when(j > 0, F.lit(len(END))).otherwise(F.lit(0))
+        return F.transform(b["parts"], lambda p, k: F.struct(F.when(k == 0, first).otherwise(F.lit(len(PART))).alias("gap"), F.length(p).alias("length"), (b["role"] == TAUGHT).alias("taught")))
+
+    def mask(cs: Column) -> Column:
+        before = running_sums(F.transform(cs, lambda c: c["gap"] + c["length"]))
+        spans = let(before, lambda at: F.transform(cs, lambda c, i: F.struct((F.get(at, i) + c["gap"]).cast("int").alias("start"), c["length"].alias("length"), c["taught"].alias("taught"))))
+        return F.transform(F.filter(spans, lambda s: s["taught"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+
+    chats = chats.select("_conv", let(F.col("_turns"), merged).alias("_blocks"))
     text = F.array_join(F.transform("_blocks", lambda b: F.concat(head(b), F.array_join(b["parts"], PART), F.lit(END))), "")
-    spans = F.array().cast("array<struct<start:int,length:int>>")
+    return chats.select(F.col("_conv").alias(key), text.alias("formatted"), let(F.flatten(F.transform("_blocks", cells)), mask).alias("loss_mask"))
+
+
+def masked(formatted: Column, spans: Column, block: int = 4096) -> Column:
+    """The strings under the spans. A substring is found by counting from the start, so the text is cut into blocks first."""
+    blocks = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % block), F.lit(0))
 
-    def mark(acc, b):
-        start = acc["at"] + F.length(head(b))
-        inner = F.aggregate(
-            b["parts"],
-            F.struct(start.alias("at"), spans.alias("spans")),
-            lambda a, p: F.struct((a["at"] + F.length(p) + len(PART)).alias("at"), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(p).alias("length")))).alias("spans")),
-        )
-        return F.struct((inner["at"] - len(PART) + len(END)).alias("at"), F.when(b["role"] == TAUGHT, F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"]).alias("spans"))
+    def under(bs: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / block).cast("int")
+        last = F.floor((s["start"] + s["length"]) / block).cast("int")
+        return F.substr(F.array_join(F.slice(bs, first + 1, last - first + 1), ""), s["start"] - first * block + 1, s["length"])
 
-    mask = F.aggregate("_blocks", F.struct(F.lit(0).alias("at"), spans.alias("spans")), mark, lambda a: a["spans"])
-    return chats.select(F.col(key), text.alias("formatted"), mask.alias("loss_mask"))
+    return let(blocks, lambda bs: F.transform(spans, lambda s: under(bs, s)))
 
 
 def read_chats(formatted: Column) -> Column:
@@ -84,13 +94,14 @@ def read_chats(formatted: Column) -> Column:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the contract's tricky one, formatted and read back: counts and digests a conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TAUGHT).alias("role"), F.lit(tricky).alias("text"))
     chats = format_chats(turns.unionByName(extra))
     read = chats.withColumn("_read", read_chats(F.col("formatted")))
     said = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss = F.array_join(F.transform(masked(F.col("formatted"), F.col("loss_mask")), unescape), "")
     read = read.withColumn("_loss", loss)
     return read.select(
         "conv_id",
