@@ -52,8 +52,10 @@ def bad_line(line: Column, n: Column) -> Column:
 def quality(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
     """docs' columns, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_words, kept, cleaned.
 
-    One projection, no shuffle. Null text counts as empty: all counts 0, base_failed, not kept, cleaned ''. Added names that docs already has get "_" appended.
+    One projection, no shuffle, so repeated rows and ties stay as they are. Null text counts as empty: all counts 0, base_failed, not kept,
+    cleaned ''. An empty table gives an empty result. Added names that docs already has get "_" appended; no column of docs is touched.
     """
+    w, l = spare(docs, "_w", "_l")
     names = spare(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "kept", "cleaned")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
@@ -61,30 +63,31 @@ def quality(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> Data
     def line_facts(ls):
         return F.transform(ls, lambda x: let(F.size(words(x)), lambda n: F.struct(x.alias("line"), n.alias("n"), ((n > 0) & bad_line(x, n)).alias("bad"))))
 
-    facts = docs.withColumn("_w", let(words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeated_words(ws).cast("long").alias("again"))))
-    facts = facts.withColumn("_l", let(line_facts(lines), lambda ls: F.struct(
+    facts = docs.withColumn(w, let(words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeated_words(ws).cast("long").alias("again"))))
+    facts = facts.withColumn(l, let(line_facts(lines), lambda ls: F.struct(
         let(F.filter(ls, lambda x: x["n"] > 0), lambda full: F.size(full) - F.size(F.array_distinct(F.transform(full, lambda x: x["line"])))).cast("long").alias("dups"),
         F.aggregate(ls, F.lit(0), lambda a, x: a + F.when(x["bad"], F.lit(0)).otherwise(x["n"])).cast("long").alias("kept"),
         F.array_join(F.transform(F.filter(ls, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("cleaned"),
     )))
-    n, again = F.col("_w.n"), F.col("_w.again")
+    n, again = F.col(w)["n"], F.col(w)["again"]
     failed = (n < 20) | (100 * again > 30 * n)
-    kept = ~failed & (F.col("_l.kept") >= n * F.lit(1 - most_lost))
+    kept = ~failed & (F.col(l)["kept"] >= n * F.lit(1 - most_lost))
     out = (
         n,
         F.length(F.translate(t, SPACES, "")).cast("long"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        F.col("_l.dups"),
+        F.col(l)["dups"],
         again,
         failed,
-        F.col("_l.kept"),
+        F.col(l)["kept"],
         kept,
-        F.col("_l.cleaned"),
+        F.col(l)["cleaned"],
     )
     return facts.select(*docs.columns, *[c.alias(name) for c, name in zip(out, names, strict=True)])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a row each: the contract's counts, the verdict, and the words in the lines that stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
 
