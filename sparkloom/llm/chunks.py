@@ -18,15 +18,30 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def kept_by_worker(key, build: Callable):
     """build(), made once a Python worker: later tasks of the worker find it again under its key. Worker code travels by value, so it
-    has no module of its own to keep things in."""
-    import tokenizers
+    has no module to keep things in; one is registered in the worker for that."""
+    import types
 
-    kept = tokenizers.__dict__.setdefault("_kept_by_worker", {})
+    kept = sys.modules.setdefault("_sparkloom_worker", types.ModuleType("_sparkloom_worker")).__dict__
     if key not in kept:
         kept[key] = build()
     return kept[key]
 
 
+def plain_path(vocabulary: str) -> bool:
+    """Is this a tokenizer that lower-cases, drops white space and never looks across it? Only then may texts be taken apart below; all
+    others read whole texts themselves. The answer is read from the tokenizer's own description."""
+    import json
+
+    with open(vocabulary, encoding="utf-8") as f:
+        it = json.load(f)
+    steps = (it.get("normalizer") or {}).get("normalizers", [it.get("normalizer") or {}])
+    splits = (it.get("pre_tokenizer") or {}).get("pretokenizers", [it.get("pre_tokenizer") or {}])
+    lower = any(x.get("type") == "Lowercase" for x in steps) and all(x.get("type") in ("NFC", "Replace", "Lowercase") for x in steps)
+    byte_level = any(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in splits)
+    drops = any(x.get("type") == "Split" and x.get("invert") and x.get("behavior") == "Removed" for x in splits)
+    return lower and drops and byte_level and it.get("model", {}).get("end_of_word_suffix") == "</w>"
+
+
 #: ASCII without the apostrophe, its plainest white space, and the letters of Latin-1: here the split into words and the lower case below are
 #: the tokenizer's own.
 PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x26\\x28-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -34,8 +49,9 @@ PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \\t\\n\\ra-z0-9\xdf-\xf6\x
 
 
 def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """texts -> their ids as little-endian 32-bit bytes. Plain texts are taken apart here and each lower-case part is encoded once while it
-    is remembered; other texts go through the tokenizer chunk by chunk."""
+    """texts -> their ids as little-endian 32-bit bytes. With a vocabulary of ``plain_path``, plain texts are taken apart here and each
+    lower-case part is encoded once while it is remembered; other texts go through the tokenizer chunk by chunk. With any other vocabulary
+    the tokenizer gets whole texts."""
     import os
     from array import array
 
@@ -55,6 +71,8 @@ def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
 
         return make
 
+    if not plain_path(vocabulary):
+        return ids(whole)
     parts, chunks = Memory(ids(bare)), Memory(ids(whole), KEPT // 4)
 
     def encode(texts: list[str]) -> list[bytes]:

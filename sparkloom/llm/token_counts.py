@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Memory, kept_by_worker, split_chunks, vocabulary_path
+from .chunks import Memory, kept_by_worker, plain_path, split_chunks, vocabulary_path
 from .common import lean_batches, released, spare, table
 
 
@@ -20,6 +20,8 @@ class LongestMatch:
     matching would fix there, and ``popped`` counts them. Links follow the published LinMaxMatch construction (Song et al., 2021), breadth first.
     """
 
+    FEW = 64
+
     def __init__(self, first: Iterable[bytes], later: Iterable[bytes] | None = None):
         edges: list[dict[int, int]] = [{}]
         final = [False]
@@ -64,9 +66,11 @@ class LongestMatch:
         self.keys = np.array([k for k, _ in pairs] or [-1], np.int64)
         self.to = np.array([v for _, v in pairs] or [0], np.int32)
         self.fail, self.popped, self.root = np.array(fail, np.int32), np.array(popped, np.int32), later_root
+        self.edges, self.links = dict(pairs), list(zip(fail, popped, strict=True))
 
     def lengths(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word; 1 for a word that cannot be matched (the unknown token), 0 for an empty one. All words step at once."""
+        """Pieces of each word; 1 for a word that cannot be matched (the unknown token), 0 for an empty one. All words step at once while
+        ``FEW`` or more are left; the few long ones then walk on alone, since a step of arrays costs as much as hundreds of their steps."""
         size = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         start = np.cumsum(size) - size
@@ -76,6 +80,11 @@ class LongestMatch:
         for k in range(int(size.max(initial=0))):
             while live and size[order[live - 1]] <= k:
                 live -= 1
+            if live < self.FEW:
+                for i in order[:live]:
+                    if not dead[i]:
+                        self._alone(i, words[i][k:], state, count, dead)
+                break
             todo = order[:live]
             todo = todo[~dead[todo]]
             while len(todo):
@@ -91,6 +100,19 @@ class LongestMatch:
             todo = todo[state[todo] != self.root]
         return np.where(dead, 1, count)
 
+    def _alone(self, i: int, rest: bytes, state, count, dead):
+        """The walk of one word over the rest of its bytes."""
+        edges, links, u, n = self.edges, self.links, int(state[i]), int(count[i])
+        for b in rest:
+            while (v := edges.get(u * 256 + b)) is None:
+                u, more = links[u]
+                if u < 0:
+                    dead[i] = True
+                    return
+                n += more
+            u = v
+        state[i], count[i] = u, n
+
     def _pop(self, todo, state, count, dead):
         f = self.fail[state[todo]]
         dead[todo[f < 0]] = True
@@ -119,11 +141,13 @@ def pieces_of(vocabulary: str, end_mark: str = "</w>") -> set[bytes]:
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """docs' columns, then n_words, n_tokens (long): the words of the vocabulary's own pre-tokenizer and their greedy longest-match pieces.
 
-    Null and empty texts count 0. A chunk's counts are made once a worker and remembered; no shuffle. Added names that docs already has
-    get "_" appended.
+    Null and empty texts count 0; repeated rows and ties are rows of their own; an empty table gives an empty result. Texts are read whole,
+    however long. A chunk's counts are made once a worker and remembered; no shuffle. Vocabularies that look across white space are given
+    whole texts. Added names that docs already has get "_" appended.
     """
     vocabulary = vocabulary or vocabulary_path()
-    names = spare(docs, "n_words", "n_tokens")
+    own, *names = spare(docs, "_text_", "n_words", "n_tokens")
+    apart = split_chunks if plain_path(vocabulary) else lambda t: [t] if t else []
 
     def count(batches):
         import pyarrow as pa
@@ -135,7 +159,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
         def make(chunks):
             words, owner = [], []
             for i, c in enumerate(chunks):
-                for w, _ in tk.pre_tokenizer.pre_tokenize_str(tk.normalizer.normalize_str(c)):
+                for w, _ in tk.pre_tokenizer.pre_tokenize_str(tk.normalizer.normalize_str(c) if tk.normalizer else c):
                     words.append(bytes(map(letters.__getitem__, w)))
                     owner.append(i)
             n = np.bincount(np.array(owner, int), minlength=len(chunks))
@@ -146,7 +170,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
         for batch in batches:
             texts, counts = batch.column(0), []
             for at in range(0, batch.num_rows, 256):
-                split = [split_chunks(t or "") for t in texts.slice(at, 256).to_pylist()]
+                split = [apart(t or "") for t in texts.slice(at, 256).to_pylist()]
                 known = memory({c for s in split for c in s})
                 for s in split:
                     got = [known[c] for c in s]
@@ -155,11 +179,12 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = lean_batches(docs).select(F.col(text).cast("string").alias("_text_"), *docs.columns)
+    rows = lean_batches(docs).select(F.col(text).cast("string").alias(own), *docs.columns)
     return rows.mapInArrow(released(count), ", ".join(x for x in (fields, f"`{names[0]}` long, `{names[1]}` long") if x))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a row each: words and greedy longest-match pieces of the whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs).select("doc_id", "n_words", "n_tokens")
 
