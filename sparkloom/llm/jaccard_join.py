@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, freed, lean_batches, released, spare, stored, table
 
 WIDTH, LEAST = 5, 0.8
 RECALL = 0.9999
-SMALL, DEPTH, BLOCK = 500, 6, 512
+SMALL, DEPTH, BLOCK = 500, 6, 1024
+#: Shingles of all sets that one task holds at once (8 bytes each), besides a set that is longer alone.
+TOKENS = 4_000_000
+#: A large bucket is settled by its core where at most one in so many of its sets is loose.
+DENSE = 8
 
 
 def runs_for(recall: float = RECALL, depth: int = 2) -> int:
@@ -84,9 +89,14 @@ def roots_of(first: int, last: int) -> np.ndarray:
         return mixed(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def row_key() -> Column:
+    """Rows with equal ids and equal keys hold the same text, but for chance."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
 def marked(docs: DataFrame, runs: int) -> DataFrame:
-    """doc_id, _k (key of the document's set), _n (its size), _paths (the nodes it chooses two levels below the root of each run: one shared
-    passage puts many documents together at the first level, hardly ever at the second)."""
+    """doc_id, _r (the row's key), _k (key of the document's set), _n (its size), _paths (the nodes it chooses two levels below the root of
+    each run: one shared passage puts many documents together at the first level, hardly ever at the second)."""
     roots = roots_of(0, runs)
 
     def run(batches):
@@ -95,17 +105,19 @@ def marked(docs: DataFrame, runs: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = shingle_sets(part.column(1).to_pylist())
+                sets = shingle_sets(part.column(2).to_pylist())
                 keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
                 paths = [children(s, children(s, roots)[1])[1].view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "_k", "_n", "_paths"])
+                new = [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new], names=["doc_id", "_r", "_k", "_n", "_paths"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, _k long, _n long, _paths array<long>")
+    return lean_batches(docs).select("doc_id", row_key().alias("_r"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, _r long, _k long, _n long, _paths array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """_k, _set for the wanted (doc_id, _k): their texts are read again, so no set of a document without a partner is ever stored.
+    """_k, _set for the wanted (doc_id, _r, _k): their texts are read again, so no set of a document without a partner is ever stored. Rows
+    are met by id and key of the row, so rows without an id, or with one id, do not meet one another.
     ``repeated``: some rows have equal ids and equal sets, so a wanted set may come more than once."""
 
     def run(batches):
@@ -119,14 +131,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
                 own = [i for i, s in enumerate(sets) if set_key(s).view(np.int64) == ks[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(ks[own], pa.int64()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["_k", "_set"])
 
-    w = wanted.select(F.col("doc_id").alias("_id"), "_k")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(w, F.col("doc_id").eqNullSafe(F.col("_id")))
-    found = texts.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>")
+    w = wanted.select(F.col("doc_id").alias("_id"), F.col("_r").alias("_own"), "_k")
+    texts = docs.select("doc_id", row_key().alias("_r"), F.col("text").cast("string").alias("text"))
+    found = texts.join(w, (F.col("_r") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = found.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>")
     return found.dropDuplicates(["_k"]) if repeated else found
 
 
 def marked_again(own: DataFrame, first: int, last: int) -> DataFrame:
-    """own: _k, _set. _k, _paths: the nodes that each set chooses two levels below the roots of runs first to last - 1."""
+    """own: _k, _set. _k, _n, _paths: the nodes that each set chooses two levels below the roots of runs first to last - 1."""
     roots = roots_of(first, last)
 
     def run(batches):
@@ -134,9 +147,10 @@ def marked_again(own: DataFrame, first: int, last: int) -> DataFrame:
 
         for pdf in batches:
             sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["_set"]]
-            yield pd.DataFrame({"_k": pdf["_k"], "_paths": [np.unique(children(s, children(s, roots)[1])[1].view(np.int64)) for s in sets]})
+            paths = [np.unique(children(s, children(s, roots)[1])[1].view(np.int64)) for s in sets]
+            yield pd.DataFrame({"_k": pdf["_k"], "_n": [len(s) for s in sets], "_paths": paths})
 
-    return own.select("_k", "_set").mapInPandas(released(run), "_k long, _paths array<long>")
+    return own.select("_k", "_set").mapInPandas(released(run), "_k long, _n long, _paths array<long>")
 
 
 def groups(batches, key: str):
@@ -187,41 +201,211 @@ def links(sets: list[np.ndarray], cells: int = 8_000_000) -> np.ndarray:
     return found
 
 
-def blocks(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """members: group, _m (members of the group), _k, _set. Groups of over two blocks are dealt over pairs of blocks: _g and _side.
-
-    A member of block b stands in every pair (b, c): rows grow with the number of blocks, pairs of members never become rows. _side is
-    0 where both ends are compared, else the block's side (1 or 2), and only pairs across sides count.
-    """
-    n = F.when(F.col("_m") <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col("_m") / block)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(11), "_k"), F.col("_nb")).cast("int")
-    rows = members.withColumn("_nb", n).withColumn("_b", own)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_c"))
-    side = F.when(F.col("_b") == F.col("_c"), F.lit(0)).when(F.col("_b") < F.col("_c"), F.lit(1)).otherwise(F.lit(2))
-    return rows.select(group, F.xxhash64(F.col(group), F.least("_b", "_c"), F.greatest("_b", "_c")).alias("_g"), side.alias("_side"), "_k", "_set")
-
-
 def compared(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """emit(keys, sides, linked) for each _g. Groups lie together by a hash partitioning and are read one at a time."""
+    """rows: _g, _k, _weight, _set. emit(keys, weights, linked) for each _g. Groups lie together by a hash partitioning and are read one at a time."""
 
     def run(batches):
         import pandas as pd
 
         for g in groups(batches, "_g"):
-            k, side = g["_k"].to_numpy(), g["_side"].to_numpy()
-            if len(k) < 2:
+            if len(g) < 2:
                 continue
-            found = links([np.asarray(s, np.int64).view(np.uint64) for s in g["_set"]])
-            if side.any():
-                found &= side[:, None] != side[None, :]
-            out = emit(k, found)
+            out = emit(g["_k"].to_numpy(), g["_weight"].to_numpy(), links([np.asarray(s, np.int64).view(np.uint64) for s in g["_set"]]))
             if len(out[0]):
                 yield pd.DataFrame(dict(zip([x.split()[0] for x in schema.split(", ")], out, strict=True)))
 
-    return rows.select("_g", "_side", "_k", "_set").repartition("_g").sortWithinPartitions("_g").mapInPandas(released(run), schema)
+    return rows.select("_g", "_k", "_weight", "_set").repartition("_g").sortWithinPartitions("_g").mapInPandas(released(run), schema)
+
+
+# --- large groups: all pairs without dealing all sets over pairs of blocks -----------------------------------------------------------
+#
+# Let C be any set of shingles, the core. A set x lacks d shingles of C and has e others; _d is both kinds together, its delta, and
+# _w = 5 d + 4 e. Two sets share |C| - d - d' + s shingles, where s counts what their deltas share, so
+#     Jaccard >= 4/5   if and only if   w + w' <= |C| + 9 s.
+# Near copies lie close to a core: most pairs are decided by two numbers, and the deltas of the rest are a fraction of the sets.
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], cells: int = 8_000_000) -> np.ndarray:
+    """How many numbers each of a shares with each of b, a stripe of numbers at a time."""
+    (ta, ra), (tb, rb) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b))
+    shared, out = np.intersect1d(ta, tb), np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    wide = max(1, cells // max(len(a), len(b)))
+
+    def placed(t, r):
+        at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+        keep = shared[at] == t
+        order = np.argsort(at[keep], kind="stable")
+        return at[keep][order], r[keep][order]
+
+    (ca, ra), (cb, rb) = placed(ta, ra), placed(tb, rb)
+    for lo in range(0, len(shared), wide):
+        m = []
+        for c, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            i, j = np.searchsorted(c, [lo, lo + wide])
+            x = np.zeros((n, min(wide, len(shared) - lo)), np.float32)
+            x[r[i:j], c[i:j] - lo] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def parts_of(block: int) -> Column:
+    """Into how many parts a group of _m sets with _t shingles in all is cut."""
+    return F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_t") / TOKENS), F.lit(1)).cast("int")
+
+
+def spread(one: DataFrame) -> DataFrame:
+    """A row a group (_g, _nb, ...) as a row a part, so that a large group's rows do not meet in one task to learn of it."""
+    return one.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+
+
+def deltas(members: DataFrame, own: DataFrame) -> DataFrame:
+    """members: _g, _nb, _k, _weight. own: _k, _set. A row a member: _g, _nb, _c (its part), _k, _weight, _w, _n (size of the core), _d.
+
+    A group's core is what more than half of its first part's sets hold. Which core is taken only changes how much work is left.
+    """
+
+    def cores(batches):
+        import pandas as pd
+
+        for g in groups(batches, "_g"):
+            values, n = np.unique(np.concatenate([np.asarray(s, np.int64) for s in g["_set"]]), return_counts=True)
+            yield pd.DataFrame({"_g": [g["_g"].iloc[0]], "_nb": [g["_nb"].iloc[0]], "_core": [values[2 * n > len(g)]]})
+
+    def differences(batches):
+        for pdf in batches:
+            w, n, d = [], [], []
+            for s, core in zip(pdf.pop("_set"), pdf.pop("_core"), strict=True):
+                s, core = np.asarray(s, np.int64), np.asarray(() if core is None else core, np.int64)
+                delta = np.setxor1d(s, core, assume_unique=True)
+                more = (len(delta) + len(s) - len(core)) // 2
+                w.append(5 * (len(delta) - more) + 4 * more)
+                n.append(len(core))
+                d.append(delta)
+            yield pdf.assign(_w=w, _n=n, _d=d)
+
+    rows = members.withColumn("_c", F.pmod(F.xxhash64(F.lit(11), "_k"), F.col("_nb")).cast("int"))
+    first = rows.filter("_c = 0").join(own, "_k").select("_g", "_nb", "_set").repartition("_g").sortWithinPartitions("_g")
+    core = spread(first.mapInPandas(released(cores), "_g long, _nb int, _core array<long>")).drop("_nb")
+    rows = rows.join(own, "_k").join(core, ["_g", "_c"], "left")
+    return rows.select("_g", "_nb", "_c", "_k", "_weight", "_set", "_core").mapInPandas(released(differences), "_g long, _nb int, _c int, _k long, _weight long, _w long, _n long, _d array<long>")
+
+
+def met(rows: DataFrame, counting: bool) -> DataFrame:
+    """Loose sets against all sets of their groups. rows: as ``deltas`` gives them, with _loose. Each loose set visits every part of its group;
+    a part's own sets are held, the visitors stream by.
+
+    Not counting: edges a, b that join what is linked; sets that are not loose count as joined already. Counting: _k, n, the documents
+    that a set is linked with through a pair that its two numbers do not decide. A pair of loose sets is met twice, and counts for the
+    visitor; a pair with one loose set is met once, and counts for both.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        at, own = None, None
+
+        def fresh():
+            return {c: [] for c in ("_k", "_weight", "_w", "_n", "_d", "_loose")}
+
+        def closed(own):
+            out = {c: np.array(v) for c, v in own.items() if c != "_d"} | {"_d": own["_d"]}
+            out["label"] = np.where(out["_loose"], np.arange(1, len(out["_k"]) + 1), 0)
+            out["n"] = np.zeros(len(out["_k"]), np.int64)
+            return out
 
+        def counts(own):
+            return pd.DataFrame({"_k": own["_k"], "n": own["n"]})[own["n"] > 0]
 
-def star(k: np.ndarray, found: np.ndarray):
+        for pdf in batches:
+            g, c, side = (pdf[x].to_numpy() for x in ("_g", "_c", "_side"))
+            cut = np.flatnonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (side[1:] != side[:-1])) + 1
+            for i, j in zip([0, *cut], [*cut, len(pdf)], strict=True):
+                if i == j:
+                    continue
+                part = pdf.iloc[i:j]
+                if (g[i], c[i]) != at:
+                    if counting and own is not None and "n" in own:
+                        yield counts(own)
+                    at, own = (g[i], c[i]), fresh()
+                if not side[i]:
+                    for x in own:
+                        own[x] += [np.asarray(d, np.int64) for d in part[x]] if x == "_d" else part[x].tolist()
+                    continue
+                if "n" not in own:
+                    if not own["_k"]:
+                        continue
+                    own = closed(own)
+                k, w, weight = (part[x].to_numpy() for x in ("_k", "_w", "_weight"))
+                far = w[:, None] + own["_w"][None, :] - own["_n"][None, :]
+                found = 9 * overlaps([np.asarray(d, np.int64) for d in part["_d"]], own["_d"]) >= far - 0.5
+                found &= k[:, None] != own["_k"][None, :]
+                if counting:
+                    found &= far > 0
+                    own["n"] += np.where(own["_loose"], 0, weight @ found)
+                    n = found @ own["_weight"]
+                    yield pd.DataFrame({"_k": k, "n": n})[n > 0]
+                    continue
+                a, b, label = [], [], own["label"]
+                for x in np.flatnonzero(found.any(1)):
+                    to = np.flatnonzero(found[x])
+                    names, first = np.unique(label[to], return_index=True)
+                    a += [k[x]] * len(names)
+                    b += own["_k"][to[first]].tolist()
+                    if len(names) > 1:
+                        label[np.isin(label, names)] = names[0]
+                yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        if counting and own is not None and "n" in own:
+            yield counts(own)
+
+    cols = ["_k", "_weight", "_w", "_n", "_d", "_loose"]
+    home = rows.select("_g", "_c", F.lit(0).alias("_side"), *cols)
+    away = spread(rows.filter("_loose").drop("_c")).select("_g", "_c", F.lit(1).alias("_side"), *cols)
+    both = home.unionByName(away).repartition("_g", "_c").sortWithinPartitions("_g", "_c", "_side")
+    return both.mapInPandas(released(run), "_k long, n long" if counting else "a long, b long")
+
+
+def settled(large: DataFrame, own: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """large: _p, _nb, _k. (edges a, b of the buckets that are settled; _p, _done for each bucket). With ``last`` all are settled.
+
+    The set nearest to the core is the hub. Sets that are linked to it by their two numbers get an edge to it; the others are loose.
+    A bucket with few loose sets is settled: those meet all others. The rest is left to be split on.
+    """
+    members = large.select(F.col("_p").alias("_g"), F.col("_nb"), "_k", F.lit(1).cast("long").alias("_weight"))
+    d = stored(deltas(members, own))
+    hubs = d.groupBy("_g", "_nb").agg(F.min(F.struct("_w", "_k")).alias("_hub"))
+    d = stored(d.join(spread(hubs).drop("_nb"), ["_g", "_c"]).withColumn("_loose", F.col("_w") + F.col("_hub._w") > F.col("_n")))
+    sums = d.groupBy("_g", "_nb").agg(F.count("*").alias("_m"), F.sum(F.col("_loose").cast("long")).alias("_l"))
+    sums = stored(sums.withColumn("_done", F.lit(last) | (DENSE * F.col("_l") <= F.col("_m"))))
+    d = d.join(spread(sums).select("_g", "_c", "_done", "_l"), ["_g", "_c"])
+    near = d.filter("_done AND NOT _loose AND _k <> _hub._k").select(F.col("_hub._k").alias("a"), F.col("_k").alias("b"))
+    return near.unionByName(met(d.filter("_done AND _l > 0"), False)), sums.select(F.col("_g").alias("_p"), "_done")
+
+
+def counted(members: DataFrame, own: DataFrame) -> DataFrame:
+    """members: _g, _nb, _k, _weight, in large groups. _k, n: documents that a set is linked with inside its group, other than its own: those
+    by the two numbers alone from the histogram of one of them, the others by meeting."""
+    d = stored(deltas(members, own))
+    every = d.groupBy("_g", "_nb", "_w").agg(F.sum("_weight").alias("_sum"))
+
+    def below(key, own, all_):
+        import pandas as pd
+
+        all_ = all_.sort_values("_w")
+        up_to = np.concatenate([[0], np.cumsum(all_["_sum"].to_numpy())])
+        w, core = own["_w"].to_numpy(), own["_n"].to_numpy()
+        n = up_to[np.searchsorted(all_["_w"].to_numpy(), core - w, "right")] - np.where(2 * w <= core, own["_weight"].to_numpy(), 0)
+        return pd.DataFrame({"_k": own["_k"], "n": n})
+
+    sure = d.select("_g", "_c", "_k", "_weight", "_w", "_n").groupBy("_g", "_c").cogroup(spread(every).select("_g", "_c", "_w", "_sum").groupBy("_g", "_c")).applyInPandas(below, "_k long, n long")
+    top = d.groupBy("_g", "_nb").agg(F.max("_w").alias("_top"))
+    d = d.join(spread(top).drop("_nb"), ["_g", "_c"]).filter("_w + _top > _n").withColumn("_loose", F.expr("2 * _w > _n"))
+    return sure.unionByName(met(d, True))
+
+
+def star(k: np.ndarray, _, found: np.ndarray):
     """Edges that join every connected part of the found links, at most one a member."""
     left, a, b = found.any(1), [], []
     while left.any():
@@ -255,99 +439,106 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and _k of every row; _k, _class, _links, _weight, _first of every distinct set).
+    """(doc_id, _r and _k of every row; _k, _class, _links, _weight, _first, _row of every distinct set).
 
     1. Documents with equal sets are one set, with their number as weight. 2. In each of ``runs_for(recall)`` runs a set chooses tokens and
-    goes to a bucket for each. A bucket of one set ends; one of up to ``small`` is kept; a larger one is split once more by tokens chosen
-    below it, down to ``depth``, and kept whole there. Those runs are enough for two levels; a pair that only larger buckets hold may be lost
-    further down, so the sets in larger buckets take part in more runs, ``runs_for(recall, depth)`` in all. 3. Kept buckets with the same members are one. All pairs inside a bucket are compared
-    exactly (large buckets in pairs of blocks); only edges that span what is linked leave it. 4. Connected parts are the classes. 5. Inside
-    each class all pairs are compared once more to count each document's links, so links that no run met count too.
+    goes to a bucket for each. A bucket of one set ends; one of up to ``small`` sets and ``TOKENS`` shingles is compared in full by one task.
+    A larger one is settled by its core where most of its sets lie close to that (see ``settled``). Where they do not, it is split once more
+    by tokens chosen below it, down to ``depth``, and compared in full there. The runs are enough for two levels; a pair that only such
+    buckets hold may be lost further down, so their sets take part in more runs, ``runs_for(recall, depth)`` in all. 3. Buckets with the
+    same members are one. Only edges that span what is linked leave a bucket. 4. Connected parts are the classes. 5. Inside each class all
+    pairs are decided once more to count each document's links, so links that no run met count too: small classes in full, large ones by
+    their core (``counted``). Rows of a large group grow with its size, and with its loose sets times its parts of ``block`` sets.
     """
     rows = stored(marked(docs, runs_for(recall)))
-    sets = rows.groupBy("_k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_weight"), F.first("_paths").alias("_paths"))
-    sets = stored(sets)
-    open_ = sets.select(F.explode(F.array_distinct("_paths")).alias("_p"), "_k")
-    sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
-    kept = stored(open_.join(sized, "_p"))
-    wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id"), "_k")
-    repeated = not rows.groupBy("doc_id", "_k").count().filter("count > 1").isEmpty()
+    sets = rows.groupBy("_k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r")).alias("_one"), F.count("*").alias("_weight"), F.first("_n").alias("_n"), F.first("_paths").alias("_paths"))
+    sets = stored(sets.select("_k", F.col("_one.doc_id").alias("doc_id"), F.col("_one._r").alias("_r"), "_weight", "_n", "_paths"))
+
+    def shared(open_: DataFrame) -> DataFrame:
+        """open_: _p, _k, _n. The buckets of two sets or more; of those with the same members one."""
+        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum("_n").alias("_t"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
+        return stored(open_.select("_p", "_k", "_n").join(sized, "_p").withColumn("_nb", parts_of(block)))
+
+    kept = shared(sets.select(F.explode(F.array_distinct("_paths")).alias("_p"), "_k", "_n"))
+    wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id", "_r"), "_k")
+    repeated = not rows.groupBy("doc_id", "_r").count().filter("count > 1").isEmpty()
     own = freed(stored(sets_of(docs, wanted, repeated)))
-    leaves, big = [kept.filter(F.col("_m") <= small)], kept.filter(F.col("_m") > small)
-    if depth <= 2:
-        leaves.append(big)
-    elif not big.isEmpty():
+
+    leaves, edges, seen, same = [], [], [], ["_m", "_sig"]
+    fits = (F.col("_m") <= small) & (F.col("_t") <= TOKENS)
+
+    def sorted_out(kept: DataFrame, last: bool) -> DataFrame | None:
+        """Takes what is ready out of the buckets; returns those to be split on, if any. Large buckets with the same members are looked at
+        once, but each is split on by its own path."""
+        leaves.append(kept.filter(fits))
+        large = kept.filter(~fits)
+        if large.isEmpty():
+            return None
+        new = large.groupBy(*same).agg(F.min("_p").alias("_p"))
+        for before in seen:
+            new = new.join(before.filter("_done") if last else before, same, "left_anti")
+        new = stored(new)
+        found, done = settled(large.join(new.select("_p"), "_p", "left_semi"), own, last)
+        edges.append(stored(found))
+        seen.append(stored(new.join(done, "_p").select(*same, "_done")))
+        if last:
+            return None
+        open_ = reduce(DataFrame.unionByName, (x.filter("NOT _done") for x in seen))
+        rest = stored(large.join(open_, same, "left_semi"))
+        return None if rest.isEmpty() else rest
+
+    big = sorted_out(kept, depth <= 2)
+    if big is not None:
         again = marked_again(big.select("_k").distinct().join(own, "_k"), runs_for(recall), runs_for(recall, depth))
-        open_ = stored(again.select(F.explode("_paths").alias("_p"), "_k"))
-        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig")).filter("_m > 1")
-        kept = stored(open_.join(sized, "_p"))
-        leaves.append(kept.filter(F.col("_m") <= small))
-        big = big.unionByName(kept.filter(F.col("_m") > small).select(*big.columns))
+        more = sorted_out(shared(again.select(F.explode("_paths").alias("_p"), "_k", "_n")), False)
+        big = big if more is None else big.unionByName(more)
     for level in range(3, depth + 1):
-        if big.isEmpty():
+        if big is None:
             break
-        kids = big.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_ps")).join(own, "_k")
-        open_ = kids.select("_k", F.transform("_ps", lambda x: x["_p"]).alias("_ps"), F.transform("_ps", lambda x: x["_m"]).alias("_ms"), "_set").mapInPandas(released(_split), "_p long, _k long, _above long").distinct()
-        sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_k").cast("decimal(38,0)")).alias("_sig"), F.max("_above").alias("_above")).filter("_m > 1")
-        kept = stored(open_.select("_p", "_k").join(sized, "_p"))
-        done = (F.col("_m") <= small) | (2 * F.col("_m") >= F.col("_above")) | F.lit(level == depth)
-        leaves.append(kept.filter(done).drop("_above"))
-        big = kept.filter(~done)
+        kids = big.groupBy("_k").agg(F.collect_set("_p").alias("_ps")).join(own, "_k").select("_k", F.sort_array("_ps").alias("_ps"), "_set")
+        big = sorted_out(shared(kids.mapInPandas(released(_split), "_p long, _k long, _n long").distinct()), level == depth)
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
     one = leaf.groupBy("_m", "_sig").agg(F.min("_p").alias("_p")).select("_p")
-    leaf = leaf.join(one, "_p", "left_semi").select("_p", "_m", "_k").join(own, "_k")
-    edges = compared(blocks(leaf, "_p", block), star, "a long, b long")
-    parts = freed(stored(components(edges)))
-
-    sized = parts.groupBy("root").agg(F.count("*").alias("_m"))
-    members = parts.join(sized, "root").select("root", "_m", F.col("node").alias("_k")).join(own, "_k").join(sets.select("_k", "_weight"), "_k")
-    rows_of = blocks(members.withColumn("_set", F.struct("_set", "_weight")), "root", block)
-    found = counted_links(rows_of).groupBy("_k").agg(F.sum("n").alias("n"))
-    every = sets.select("_k", "doc_id", "_weight").join(parts.select(F.col("node").alias("_k"), "root"), "_k", "left").join(found, "_k", "left")
-    every = every.select("_k", F.coalesce("root", "_k").alias("_class"), (F.coalesce("n", F.lit(0)) + F.col("_weight") - 1).cast("long").alias("_links"), "_weight", F.col("doc_id").alias("_first"))
-    return rows.select("doc_id", "_k"), freed(stored(every))
+    leaf = leaf.join(one, "_p", "left_semi").select(F.col("_p").alias("_g"), "_k", F.lit(1).cast("long").alias("_weight")).join(own, "_k")
+    every = compared(leaf, star, "a long, b long")
+    for x in edges:
+        every = every.unionByName(x)
+    parts = freed(stored(components(every)))
+
+    weights = sets.select("_k", "_weight", "_n")
+    members = parts.select(F.col("root").alias("_g"), F.col("node").alias("_k")).join(weights, "_k")
+    sized = members.groupBy("_g").agg(F.count("*").alias("_m"), F.sum("_n").alias("_t")).withColumn("_nb", parts_of(block))
+    large = sized.filter("_nb > 1").select("_g", "_nb")
+    found = compared(members.join(sized.filter("_nb = 1").select("_g"), "_g").join(own, "_k"), lambda k, weight, linked: (k, linked @ weight), "_k long, n long")
+    if not large.isEmpty():
+        found = found.unionByName(counted(members.join(large, "_g").select("_g", "_nb", "_k", "_weight"), own))
+    found = found.groupBy("_k").agg(F.sum("n").alias("n"))
+    every = sets.select("_k", "doc_id", "_r", "_weight").join(parts.select(F.col("node").alias("_k"), "root"), "_k", "left").join(found, "_k", "left")
+    every = every.select("_k", F.coalesce("root", "_k").alias("_class"), (F.coalesce("n", F.lit(0)) + F.col("_weight") - 1).cast("long").alias("_links"), "_weight", F.col("doc_id").alias("_first"), F.col("_r").alias("_row"))
+    return rows.select("doc_id", "_r", "_k"), freed(stored(every))
 
 
 def _split(batches):
     import pandas as pd
 
     for pdf in batches:
-        ps, ks, ms = [], [], []
-        for k, nodes, above, s in zip(pdf["_k"], pdf["_ps"], pdf["_ms"], pdf["_set"], strict=True):
-            at, kids = children(np.asarray(s, np.int64).view(np.uint64), np.asarray(nodes, np.int64).view(np.uint64))
+        ps, ks, ns = [], [], []
+        for k, nodes, s in zip(pdf["_k"], pdf["_ps"], pdf["_set"], strict=True):
+            _, kids = children(np.asarray(s, np.int64).view(np.uint64), np.asarray(nodes, np.int64).view(np.uint64))
             ps.append(kids.view(np.int64))
             ks.append(np.full(len(kids), k, np.int64))
-            ms.append(np.asarray(above, np.int64)[at])
+            ns.append(np.full(len(kids), len(s), np.int64))
         if ps:
-            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks), "_above": np.concatenate(ms)})
-
-
-def counted_links(rows: DataFrame) -> DataFrame:
-    """_k, n: documents that a set is linked with inside one group, other than its own. _set: struct of set and weight."""
-
-    def run(batches):
-        import pandas as pd
-
-        for g in groups(batches, "_g"):
-            if len(g) < 2:
-                continue
-            found = links([np.asarray(s, np.int64).view(np.uint64) for s in g["_set"]])
-            side = g["_side"].to_numpy()
-            if side.any():
-                found &= side[:, None] != side[None, :]
-            yield pd.DataFrame({"_k": g["_k"].to_numpy(), "n": found @ g["_w"].to_numpy(np.int64)})
-
-    flat = rows.select("_g", "_side", "_k", F.col("_set._weight").alias("_w"), F.col("_set._set").alias("_set"))
-    return flat.repartition("_g").sortWithinPartitions("_g").mapInPandas(released(run), "_k long, n long")
+            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks), "_n": np.concatenate(ns)})
 
 
 def join(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, class_id, n_links for every row: the least doc_id of its class, and how many other rows have Jaccard >= 0.8 with it.
 
     Texts without words (null ones too) have equal, empty sets and are copies of each other. Repeated rows and equal ids are rows of their
-    own. class_id is null only where no row of a class has an id. An empty table gives an empty result.
+    own. class_id is null only where no row of a class has an id. An empty table gives an empty result. Other columns are not carried.
     """
     rows, sets = classes(docs, **limits)
     names = sets.groupBy("_class").agg(F.min("_first").alias("class_id"))
@@ -356,31 +547,27 @@ def join(docs: DataFrame, **limits) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **limits) -> DataFrame:
-    """docs' columns: of every class the row with the least doc_id stays; of rows that share that id and text, one."""
-    cols, (k,) = docs.columns, spare(docs, "_k")
-    _, sets = classes(docs, **limits)
-    keep = sets.groupBy("_class").agg(F.min(F.struct("_first", "_k")).alias("one")).select(F.col("one._first").alias("_id"), F.col("one._k").alias("_own"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{k}` long"])
+    """docs' columns: of every class the row with the least doc_id stays; of rows that share that id and text, one.
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keys = np.array([set_key(s) for s in shingle_sets(batch.column(0).to_pylist())], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.int64())], names=[*batch.schema.names[1:], k])
-
-    # only rows whose id is kept are read in Python again
-    near = docs.join(keep.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    own = near.select(F.col("text").cast("string").alias("_text_"), *cols).mapInArrow(released(run), schema)
-    own = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(k) == F.col("_own")), "left_semi")
-    return own.dropDuplicates(["doc_id", k]).select(*cols)
+    Null and empty texts are one class, of which one row stays; a class whose rows have no id keeps one of those; a null id counts only
+    where there is no other. An empty table gives an empty result. A caller's columns may have any names.
+    """
+    cols, (id_, row, mine) = docs.columns, spare(docs, "_id", "_row", "_mine")
+    _, sets = classes(docs, **limits)
+    keep = sets.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_row")).alias("one"))
+    keep = keep.select(F.col("one._first").alias(id_), F.col("one._row").alias(row))
+    own = docs.withColumn(mine, row_key())
+    own = own.join(keep, (F.col(mine) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    return own.dropDuplicates(["doc_id", mine]).select(*cols)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a row each: the class and the number of links."""
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pipeline_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
     return one_of_each(docs)
 
 
