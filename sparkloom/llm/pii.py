@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import lean_batches, released, spare, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents at most that the field's weights are fitted on, picked by a hash of their text among those with a candidate token.
-SAMPLE = 4_000
+#: Distinct texts at most that the field's weights are fitted on, those of least hash among those with a candidate token, and labelled tokens
+#: of each at most, neighbours from a place that the hash picks.
+SAMPLE, TOKENS = 4_000, 2_000
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -62,6 +63,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 #: A candidate: a maximal run without white space that holds a digit, an @ or a dot inside. All other tokens are outside by definition.
 _TOKEN = re.compile(r"[^\s,;|<>\"'(\[{]+[^\s,;|<>\"'.!?)\]}]")
+_GAP = re.compile(r"[\x20()]{1,3}")
 _CUES = {"email": ("mail", "e-mail", "email", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "fax", "mobile", "telefon")}
 LABELS = 1 + len(KINDS)
 N_FEATURES = 24
@@ -78,32 +80,39 @@ def features(text: str, start: int, end: int) -> list[int]:
     return [k for k, yes in enumerate(holds) if yes]
 
 
-def canonical(token: str) -> str:
-    """Similar tokens have one form: an address in lower case without its tag, digits alone where they are most of the token."""
-    digits = "".join(c for c in token if c.isdigit())
+def keys_of(token: str) -> list[str]:
+    """What a token shares with repeated or similar ones. Its own form: lower case, or digits alone where they are most of the token. Then what
+    similar tokens share: the last seven digits of a number, and the name of an address, which may also stand alone."""
+    digits, low = "".join(c for c in token if c.isdigit()), token.lower()
     if "@" in token:
-        return token.lower()
-    return ("#" if token.count(".") < 3 else "." + "".join(c for c in token if c == ".")) + digits if len(digits) >= 7 and 2 * len(digits) >= len(token) else token.lower()
+        name = low.partition("@")[0]
+        return ["=" + low, "@" + name] if name else ["=" + low]
+    if len(digits) < 7 or 2 * len(digits) < len(token):
+        return ["=" + low, "@" + low]
+    dotted = token.count(".") == 3
+    return ["=" + ("." if dotted else "#") + digits] + ([] if dotted else ["~" + digits[-7:]])
 
 
 class SkipChain:
     """Labels O, email, ip, card, phone over a document's candidate tokens. Potentials: features x labels, a chain between neighbouring
-    candidates, and a skip edge between tokens of one canonical form. Loopy sum-product messages run a few damped rounds.
+    candidates, and skip edges between tokens that share a key. Loopy sum-product messages run a few damped rounds.
 
-    All tokens of a form hang on one hub (a factor tying each to the form's label), so a form with n tokens has n edges, not n².
+    All tokens of a key hang on one hub (a factor tying each to the key's label), so a key with n tokens has n edges, not n².
     """
 
-    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: float, rounds: int = 6):
+    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: float, rounds: int = 8):
         self.weights, self.chain, self.skip, self.rounds = weights, chain, skip, rounds
 
-    def marginals(self, feats: list[list[int]], forms: list[str], clamp: dict[int, int] | None = None) -> np.ndarray:
+    def marginals(self, feats: list[list[int]], keys: list[list[str]], clamp: dict[int, int] | None = None) -> np.ndarray:
         n = len(feats)
         unary = np.array([self.weights[f].sum(0) for f in feats])
         for i, y in (clamp or {}).items():
             unary[i] = np.where(np.arange(LABELS) == y, 8.0, -8.0)
-        hub_of = {f: k for k, f in enumerate(dict.fromkeys(forms))}
-        hub = np.array([hub_of[f] for f in forms])
-        right, left, up, down = (np.zeros((n, LABELS)) for _ in range(4))
+        often = Counter(k for own in keys for k in own)
+        number = {k: h for h, k in enumerate(k for k, m in often.items() if m > 1)}
+        ties = [(i, number[k]) for i, own in enumerate(keys) for k in own if k in number]
+        at, hub = (np.array([t[x] for t in ties], int) for x in (0, 1))
+        right, left, down = np.zeros((n, LABELS)), np.zeros((n, LABELS)), np.zeros((len(ties), LABELS))
         tie = np.where(np.eye(LABELS, dtype=bool), self.skip, 0.0)
 
         def out(x, pair):
@@ -112,18 +121,24 @@ class SkipChain:
             r = np.log(np.exp(m - top).sum(1)) + top[:, 0]
             return r - r.max(1, keepdims=True)
 
+        def gathered(x, to, size):
+            total = np.zeros((size, LABELS))
+            np.add.at(total, to, x)
+            return total
+
         for _ in range(self.rounds):
-            own = unary + down
+            own = unary + gathered(down, at, n)
             if n > 1:
                 new_right, new_left = np.zeros_like(right), np.zeros_like(left)
                 new_right[1:] = out((own + right)[:-1], self.chain)
                 new_left[:-1] = out((own + left)[1:], self.chain.T)
                 right, left = 0.5 * right + 0.5 * new_right, 0.5 * left + 0.5 * new_left
-            up = out(unary + right + left, tie)
-            total = np.zeros((len(hub_of), LABELS))
-            np.add.at(total, hub, up)
-            down = 0.5 * down + 0.5 * out(total[hub] - up, tie)
-        b = unary + right + left + down
+            if len(ties):
+                up = out((own + right + left)[at] - down, tie)
+                down = 0.5 * down + 0.5 * out(gathered(up, hub, len(number))[hub] - up, tie)
+            elif n <= 1:
+                break
+        b = unary + right + left + gathered(down, at, n)
         b = np.exp(b - b.max(1, keepdims=True))
         return b / b.sum(1, keepdims=True)
 
@@ -132,7 +147,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Where a document's candidate tokens are. Text without a digit or an @ has none."""
     if "@" not in text and not _DIGIT.search(text):
         return []
-    return [m.span() for m in _TOKEN.finditer(text) if m.end() - m.start() <= 320 and any(c.isdigit() or c == "@" for c in m[0])]
+    return [m.span() for m in _TOKEN.finditer(text) if "@" in m[0] or _DIGIT.search(m[0])]
 
 
 def labelled(tokens: list[tuple[int, int]], spans: list[list[tuple[int, int]]]) -> np.ndarray:
@@ -150,14 +165,15 @@ def labelled(tokens: list[tuple[int, int]], spans: list[list[tuple[int, int]]])
     return y
 
 
-def fit(data: list[tuple[list[list[int]], list[str], list[int]]], rounds: int = 200) -> SkipChain:
-    """data: a document's features, forms and base labels. Weights by pseudo-likelihood: every token's label given its neighbours'
-    labels and its form's other tokens' labels, so each is a softmax regression and no message passing is needed to learn."""
+def fit(data: list[tuple[list[list[int]], list[list[str]], list[int]]], rounds: int = 200) -> SkipChain:
+    """data: a document's features, keys and base labels. Weights by pseudo-likelihood: every token's label given its neighbours'
+    labels and the labels of other tokens with its keys, so each is a softmax regression and no message passing is needed to learn."""
     feats, y, prev, nxt, mates = [], [], [], [], []
-    for fs, forms, labels in data:
+    for fs, keys, labels in data:
         group = defaultdict(lambda: np.zeros(LABELS))
-        for f, lab in zip(forms, labels, strict=True):
-            group[f][lab] += 1
+        for own, lab in zip(keys, labels, strict=True):
+            for k in own:
+                group[k][lab] += 1
         for i, (f, lab) in enumerate(zip(fs, labels, strict=True)):
             row = np.zeros(N_FEATURES)
             row[f] = 1
@@ -165,8 +181,8 @@ def fit(data: list[tuple[list[list[int]], list[str], list[int]]], rounds: int =
             y.append(lab)
             prev.append(labels[i - 1] if i else -1)
             nxt.append(labels[i + 1] if i + 1 < len(labels) else -1)
-            others = group[forms[i]].copy()
-            others[lab] -= 1
+            others = sum((group[k] for k in keys[i]), np.zeros(LABELS))
+            others[lab] -= len(keys[i])
             mates.append(np.minimum(others, 3))
     w, chain, skip = np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 1.0
     if not y:
@@ -188,35 +204,42 @@ def fit(data: list[tuple[list[list[int]], list[str], list[int]]], rounds: int =
     return SkipChain(w, chain, skip)
 
 
-def prepared(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]], list[list[int]], list[str], np.ndarray]:
+def prepared(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]], list[list[int]], list[list[str]], np.ndarray]:
     spans, tokens = base_spans(text), candidates(text)
-    return tokens, spans, [features(text, *t) for t in tokens], [canonical(text[a:b]) for a, b in tokens], labelled(tokens, spans)
+    return tokens, spans, [features(text, *t) for t in tokens], [keys_of(text[a:b]) for a, b in tokens], labelled(tokens, spans)
 
 
 def find(text: str, field: SkipChain, sure: float = 0.9) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]:
     """(base spans of each kind, spans that the field adds as kind, start, end). Tokens that a base span covers keep its label and send it
-    along their edges; other candidates whose label is not O with ``sure`` or more are added. Without any base span nothing can be carried."""
+    along their edges; every other candidate whose label is not O with ``sure`` or more is added, whether its shape and context, its
+    neighbours or tokens that share a key with it make it so."""
     if "@" not in text and not _DIGIT.search(text):
         return [[], [], [], []], []
-    spans = base_spans(text)
-    if not any(spans):
-        return spans, []
-    tokens, _, feats, forms, y = prepared(text)
+    tokens, spans, feats, keys, y = prepared(text)
     if not len(tokens) or y.all():
         return spans, []
-    p = field.marginals(feats, forms, {int(i): int(y[i]) for i in np.flatnonzero(y)})
-    linked = set(np.array(forms, dtype=object)[y > 0])
-    best = p.argmax(1)
-    return spans, [(int(best[i]) - 1, *tokens[i]) for i in range(len(tokens)) if not y[i] and best[i] and p[i, best[i]] >= sure and forms[i] in linked]
-
-
-def learn(docs: DataFrame, sample: int = SAMPLE) -> SkipChain:
-    """Fit on at most about ``sample`` documents with candidates, labelled by the exact patterns; half of them by hash lose the features
-    that repeat the patterns (luhn, three dots, the @ and + signs), so that context, chain and skip edges carry weight of their own."""
+    p = field.marginals(feats, keys, {int(i): int(y[i]) for i in np.flatnonzero(y)})
+    best, more = p.argmax(1), []
+    for i, (start, end) in enumerate(tokens):
+        if y[i] or not best[i] or p[i, best[i]] < sure:
+            continue
+        kind = int(best[i]) - 1
+        if more and more[-1][0] == kind and y[i - 1] == 0 and more[-1][2] == tokens[i - 1][1] and _GAP.fullmatch(text, more[-1][2], start):
+            start = more.pop()[1]  # one number written in groups
+        more.append((kind, start, end))
+    return spans, more
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, most_tokens: int = TOKENS) -> SkipChain:
+    """Fit on at most ``sample`` distinct texts with candidates, labelled by the exact patterns, and at most ``most_tokens`` tokens of each.
+    Half of the texts by hash lose the features that repeat the patterns (luhn, three dots, the @ and + signs), so that context, chain
+    and skip edges carry weight of their own. Null and empty texts have no candidates; exact copies count once, however many there
+    are; without any text the field calls everything O. Other columns are not read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = lean_batches(docs).select(text.alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{7}|[0-9]\.[0-9]")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    some = some.filter(F.length("text") <= 200_000)
-    share = min(1.0, sample / max(some.count(), 1))
+    some = lean_batches(docs).select(text.alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{7}|[0-9]\.[0-9]")).withColumn("h", F.xxhash64("text"))
+    last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
 
     def run(batches):
         import pandas as pd
@@ -224,19 +247,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> SkipChain:
         for pdf in batches:
             out = []
             for t, h in zip(pdf["text"], pdf["h"], strict=True):
-                _, _, feats, forms, y = prepared(t)
+                _, _, feats, keys, y = prepared(t)
+                a = h % max(1, len(y) - most_tokens + 1)
                 hidden = {1, 2, 10, 20} if h % 2 else set()
-                out.append(([[k for k in f if k not in hidden] for f in feats][:2000], forms[:2000], y.tolist()[:2000]))
-            yield pd.DataFrame({"h": pdf["h"], "f": [o[0] for o in out], "form": [o[1] for o in out], "y": [o[2] for o in out]})
+                out.append(([[k for k in f if k not in hidden] for f in feats[a : a + most_tokens]], keys[a : a + most_tokens], y[a : a + most_tokens].tolist()))
+            yield pd.DataFrame({"h": pdf["h"], "f": [o[0] for o in out], "keys": [o[1] for o in out], "y": [o[2] for o in out]})
 
-    rows = some.filter(F.col("h") < int(share * (1 << 30))).mapInPandas(released(run), "h long, f array<array<int>>, form array<string>, y array<int>").orderBy("h", "form").collect()
-    return fit([([list(f) for f in r["f"]], list(r["form"]), list(r["y"])) for r in rows if r["y"]])
+    once = some.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+    rows = sorted(once.mapInPandas(released(run), "h long, f array<array<int>>, keys array<array<string>>, y array<int>").collect(), key=lambda r: r["h"])
+    return fit([([list(f) for f in r["f"]], [list(k) for k in r["keys"]], list(r["y"])) for r in rows if r["y"]])
 
 
 def scan(docs: DataFrame, field: SkipChain) -> DataFrame:
     """docs' columns, then n_email, n_ip, n_card, n_phone (long), base and spans (arrays of kind, start, end) and masked: the text with
-    every span's characters replaced by its kind in brackets. Null text counts as empty (masked stays null); clashing names get "_" appended."""
-    names = spare(docs, *(f"n_{k}" for k in KINDS), "base", "spans", "masked")
+    every span's characters replaced by its kind in brackets. Null text counts as empty (masked stays null); texts are read whole; repeated
+    rows stay; an empty table gives an empty result; clashing names get "_" appended to the added ones."""
+    whole, *names = spare(docs, "_text_", *(f"n_{k}" for k in KINDS), "base", "spans", "masked")
 
     def run(batches):
         import pyarrow as pa
@@ -258,7 +284,7 @@ def scan(docs: DataFrame, field: SkipChain) -> DataFrame:
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {t}" for n, t in zip(names, ["long"] * 4 + [span] * 2 + ["string"], strict=True)]
-    return lean_batches(docs).select(F.col("text").cast("string").alias("_text_"), *docs.columns).mapInArrow(released(run), ", ".join(fields))
+    return lean_batches(docs).select(F.col("text").cast("string").alias(whole), *docs.columns).mapInArrow(released(run), ", ".join(fields))
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -278,6 +304,7 @@ def joined(spans: Column) -> Column:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a row each: the contract's counts and digest, and all spans as one string."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, learn(docs))
     counts = [f"n_{k}" for k in KINDS]
@@ -285,6 +312,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their spans masked and n_chars counted again."""
     found = scan(docs, learn(docs.select("text")))
     new = {"text": F.col(found.columns[-1])}
     if "n_chars" in docs.columns:
