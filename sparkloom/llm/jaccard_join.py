@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +16,20 @@ SMALL, DEPTH, BLOCK = 500, 6, 1024
 #: Shingles of all sets that one task holds at once (8 bytes each), besides a set that is longer alone.
 TOKENS = 4_000_000
 #: A large bucket is settled by its core where at most one in so many of its sets is loose.
-DENSE = 8
+DENSE = 2
+#: Common children, on average at the least, of a pair below a bucket that is split on by what its core lacks.
+CHILDREN = 5.0
+#: Keys of rows up to so many are sent to the texts (16 bytes each); beyond it texts and keys meet by a shuffle.
+BROADCAST = 2_000_000
 
 
-def runs_for(recall: float = RECALL, depth: int = 2) -> int:
+def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs until every pair at the bound is met with that probability. A pair that shares o tokens has o / (LEAST * the larger size) common
     children at a node on average, as Poisson or surer. At the bound that is 2 / (1 + LEAST) for equal sizes and least, 1, where one set
-    holds the other, so 1 is taken; survival to ``depth`` follows."""
+    holds the other, so 1 is taken for the first two levels; below, in large buckets, it is CHILDREN or more (see ``kids``)."""
     lost = 0.0
-    for _ in range(depth):
-        lost = math.exp(lost - 1)
+    for level in range(depth, 0, -1):
+        lost = math.exp((CHILDREN if level > 2 else 1.0) * (lost - 1))
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
@@ -94,6 +97,12 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """keys marked for broadcast if they are at most BROADCAST rows, counted; else as they are."""
+    keys = stored(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def marked(docs: DataFrame, runs: int) -> DataFrame:
     """doc_id, _r (the row's key), _k (key of the document's set), _n (its size), _paths (the nodes it chooses two levels below the root of
     each run: one shared passage puts many documents together at the first level, hardly ever at the second)."""
@@ -131,28 +140,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
                 own = [i for i, s in enumerate(sets) if set_key(s).view(np.int64) == ks[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(ks[own], pa.int64()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["_k", "_set"])
 
-    w = wanted.select(F.col("doc_id").alias("_id"), F.col("_r").alias("_own"), "_k")
+    w = few(wanted.select(F.col("doc_id").alias("_id"), F.col("_r").alias("_own"), "_k"))
     texts = docs.select("doc_id", row_key().alias("_r"), F.col("text").cast("string").alias("text"))
     found = texts.join(w, (F.col("_r") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     found = found.select("_k", "text").mapInArrow(released(run), "_k long, _set array<long>")
     return found.dropDuplicates(["_k"]) if repeated else found
 
 
-def marked_again(own: DataFrame, first: int, last: int) -> DataFrame:
-    """own: _k, _set. _k, _n, _paths: the nodes that each set chooses two levels below the roots of runs first to last - 1."""
-    roots = roots_of(first, last)
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["_set"]]
-            paths = [np.unique(children(s, children(s, roots)[1])[1].view(np.int64)) for s in sets]
-            yield pd.DataFrame({"_k": pdf["_k"], "_n": [len(s) for s in sets], "_paths": paths})
-
-    return own.select("_k", "_set").mapInPandas(released(run), "_k long, _n long, _paths array<long>")
-
-
 def groups(batches, key: str):
     """Whole groups of a key from batches that are sorted by it."""
     import pandas as pd
@@ -262,7 +256,8 @@ def spread(one: DataFrame) -> DataFrame:
 
 
 def deltas(members: DataFrame, own: DataFrame) -> DataFrame:
-    """members: _g, _nb, _k, _weight. own: _k, _set. A row a member: _g, _nb, _c (its part), _k, _weight, _w, _n (size of the core), _d.
+    """members: _g, _nb, _k, _weight. own: _k, _set. A row a member: _g, _nb, _c (its part), _k, _weight, _w, _n (size of the core), _s (size of
+    the set), _d.
 
     A group's core is what more than half of its first part's sets hold. Which core is taken only changes how much work is left.
     """
@@ -276,21 +271,22 @@ def deltas(members: DataFrame, own: DataFrame) -> DataFrame:
 
     def differences(batches):
         for pdf in batches:
-            w, n, d = [], [], []
+            w, n, size, d = [], [], [], []
             for s, core in zip(pdf.pop("_set"), pdf.pop("_core"), strict=True):
                 s, core = np.asarray(s, np.int64), np.asarray(() if core is None else core, np.int64)
                 delta = np.setxor1d(s, core, assume_unique=True)
                 more = (len(delta) + len(s) - len(core)) // 2
                 w.append(5 * (len(delta) - more) + 4 * more)
                 n.append(len(core))
+                size.append(len(s))
                 d.append(delta)
-            yield pdf.assign(_w=w, _n=n, _d=d)
+            yield pdf.assign(_w=w, _n=n, _s=size, _d=d)
 
     rows = members.withColumn("_c", F.pmod(F.xxhash64(F.lit(11), "_k"), F.col("_nb")).cast("int"))
     first = rows.filter("_c = 0").join(own, "_k").select("_g", "_nb", "_set").repartition("_g").sortWithinPartitions("_g")
     core = spread(first.mapInPandas(released(cores), "_g long, _nb int, _core array<long>")).drop("_nb")
     rows = rows.join(own, "_k").join(core, ["_g", "_c"], "left")
-    return rows.select("_g", "_nb", "_c", "_k", "_weight", "_set", "_core").mapInPandas(released(differences), "_g long, _nb int, _c int, _k long, _weight long, _w long, _n long, _d array<long>")
+    return rows.select("_g", "_nb", "_c", "_k", "_weight", "_set", "_core").mapInPandas(released(differences), "_g long, _nb int, _c int, _k long, _weight long, _w long, _n long, _s long, _d array<long>")
 
 
 def met(rows: DataFrame, counting: bool) -> DataFrame:
@@ -367,21 +363,45 @@ def met(rows: DataFrame, counting: bool) -> DataFrame:
     return both.mapInPandas(released(run), "_k long, n long" if counting else "a long, b long")
 
 
-def settled(large: DataFrame, own: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """large: _p, _nb, _k. (edges a, b of the buckets that are settled; _p, _done for each bucket). With ``last`` all are settled.
+def settled(large: DataFrame, own: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """large: _p, _nb, _k. (edges a, b; the children _p, _k, _n of the buckets that are split on, None with ``last``).
 
-    The set nearest to the core is the hub. Sets that are linked to it by their two numbers get an edge to it; the others are loose.
-    A bucket with few loose sets is settled: those meet all others. The rest is left to be split on.
+    The set nearest to the core is the hub. Sets that are linked to it by their two numbers get an edge to it; the others are loose. In
+    a bucket with few loose sets, and with ``last`` in all, those meet all others. Other buckets are split on.
     """
     members = large.select(F.col("_p").alias("_g"), F.col("_nb"), "_k", F.lit(1).cast("long").alias("_weight"))
     d = stored(deltas(members, own))
     hubs = d.groupBy("_g", "_nb").agg(F.min(F.struct("_w", "_k")).alias("_hub"))
-    d = stored(d.join(spread(hubs).drop("_nb"), ["_g", "_c"]).withColumn("_loose", F.col("_w") + F.col("_hub._w") > F.col("_n")))
+    d = d.join(spread(hubs).drop("_nb"), ["_g", "_c"]).withColumn("_loose", F.col("_w") + F.col("_hub._w") > F.col("_n"))
     sums = d.groupBy("_g", "_nb").agg(F.count("*").alias("_m"), F.sum(F.col("_loose").cast("long")).alias("_l"))
     sums = stored(sums.withColumn("_done", F.lit(last) | (DENSE * F.col("_l") <= F.col("_m"))))
     d = d.join(spread(sums).select("_g", "_c", "_done", "_l"), ["_g", "_c"])
-    near = d.filter("_done AND NOT _loose AND _k <> _hub._k").select(F.col("_hub._k").alias("a"), F.col("_k").alias("b"))
-    return near.unionByName(met(d.filter("_done AND _l > 0"), False)), sums.select(F.col("_g").alias("_p"), "_done")
+    near = d.filter("NOT _loose AND _k <> _hub._k").select(F.col("_hub._k").alias("a"), F.col("_k").alias("b"))
+    edges = near.unionByName(met(d.filter("_done AND _l > 0"), False))
+    if last or sums.filter("NOT _done").isEmpty():
+        return edges, None
+    return edges, d.filter("NOT _done").select("_g", "_k", "_w", F.col("_hub._w").alias("_h"), "_n", "_s", "_d").mapInPandas(released(kids), "_p long, _k long, _n long")
+
+
+def kids(batches):
+    """The children of a bucket that is split on: tokens of a set's delta, chosen by a hash of bucket and token; the core, which all hold, splits
+    nothing. A set is linked with no set by fewer than t = (_w + the hub's _w - |C|) / 9 shared tokens of their deltas, if one of the two
+    is loose, and chooses each token with probability CHILDREN / t: so linked sets have CHILDREN common children or more on average."""
+    import pandas as pd
+
+    for pdf in batches:
+        ps, ks, ns = [], [], []
+        for g, k, w, h, n, size, d in zip(pdf["_g"], pdf["_k"], pdf["_w"], pdf["_h"], pdf["_n"], pdf["_s"], pdf["_d"], strict=True):
+            least = max(1, -(-(w + h - n) // 9))
+            node = mixed(np.array([g], np.int64).view(np.uint64))
+            with np.errstate(over="ignore"):
+                x = mixed(node + np.asarray(d, np.int64).view(np.uint64))
+            x = x if least <= CHILDREN else x[x <= np.uint64(int(2**64 * (CHILDREN / least)))]
+            ps.append(mixed(x ^ node).view(np.int64))
+            ks.append(np.full(len(x), k, np.int64))
+            ns.append(np.full(len(x), size, np.int64))
+        if ps:
+            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks), "_n": np.concatenate(ns)})
 
 
 def counted(members: DataFrame, own: DataFrame) -> DataFrame:
@@ -441,16 +461,15 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _r and _k of every row; _k, _class, _links, _weight, _first, _row of every distinct set).
 
-    1. Documents with equal sets are one set, with their number as weight. 2. In each of ``runs_for(recall)`` runs a set chooses tokens and
-    goes to a bucket for each. A bucket of one set ends; one of up to ``small`` sets and ``TOKENS`` shingles is compared in full by one task.
-    A larger one is settled by its core where most of its sets lie close to that (see ``settled``). Where they do not, it is split once more
-    by tokens chosen below it, down to ``depth``, and compared in full there. The runs are enough for two levels; a pair that only such
-    buckets hold may be lost further down, so their sets take part in more runs, ``runs_for(recall, depth)`` in all. 3. Buckets with the
+    1. Documents with equal sets are one set, with their number as weight. 2. In each of ``runs_for(recall, depth)`` runs a set chooses
+    tokens and goes to a bucket for each, two levels down. A bucket of one set ends; one of up to ``small`` sets and ``TOKENS`` shingles is
+    compared in full by one task. A larger one is settled by its core where most of its sets lie close to that; where they do not, it is
+    split once more by tokens that its core lacks (see ``settled``), down to ``depth``, and compared in full there. 3. Buckets with the
     same members are one. Only edges that span what is linked leave a bucket. 4. Connected parts are the classes. 5. Inside each class all
     pairs are decided once more to count each document's links, so links that no run met count too: small classes in full, large ones by
     their core (``counted``). Rows of a large group grow with its size, and with its loose sets times its parts of ``block`` sets.
     """
-    rows = stored(marked(docs, runs_for(recall)))
+    rows = stored(marked(docs, runs_for(recall, max(depth, 2))))
     sets = rows.groupBy("_k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r")).alias("_one"), F.count("*").alias("_weight"), F.first("_n").alias("_n"), F.first("_paths").alias("_paths"))
     sets = stored(sets.select("_k", F.col("_one.doc_id").alias("doc_id"), F.col("_one._r").alias("_r"), "_weight", "_n", "_paths"))
 
@@ -466,37 +485,21 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
 
     leaves, edges, seen, same = [], [], [], ["_m", "_sig"]
     fits = (F.col("_m") <= small) & (F.col("_t") <= TOKENS)
-
-    def sorted_out(kept: DataFrame, last: bool) -> DataFrame | None:
-        """Takes what is ready out of the buckets; returns those to be split on, if any. Large buckets with the same members are looked at
-        once, but each is split on by its own path."""
+    for level in range(2, max(depth, 2) + 1):
         leaves.append(kept.filter(fits))
         large = kept.filter(~fits)
-        if large.isEmpty():
-            return None
-        new = large.groupBy(*same).agg(F.min("_p").alias("_p"))
+        one = large.groupBy(*same).agg(F.min("_p").alias("_p"))
         for before in seen:
-            new = new.join(before.filter("_done") if last else before, same, "left_anti")
-        new = stored(new)
-        found, done = settled(large.join(new.select("_p"), "_p", "left_semi"), own, last)
+            one = one.join(before, same, "left_anti")
+        one = stored(one)
+        if one.isEmpty():
+            break
+        seen.append(one.select(*same))
+        found, more = settled(large.join(one.select("_p"), "_p", "left_semi"), own, level >= depth)
         edges.append(stored(found))
-        seen.append(stored(new.join(done, "_p").select(*same, "_done")))
-        if last:
-            return None
-        open_ = reduce(DataFrame.unionByName, (x.filter("NOT _done") for x in seen))
-        rest = stored(large.join(open_, same, "left_semi"))
-        return None if rest.isEmpty() else rest
-
-    big = sorted_out(kept, depth <= 2)
-    if big is not None:
-        again = marked_again(big.select("_k").distinct().join(own, "_k"), runs_for(recall), runs_for(recall, depth))
-        more = sorted_out(shared(again.select(F.explode("_paths").alias("_p"), "_k", "_n")), False)
-        big = big if more is None else big.unionByName(more)
-    for level in range(3, depth + 1):
-        if big is None:
+        if more is None:
             break
-        kids = big.groupBy("_k").agg(F.collect_set("_p").alias("_ps")).join(own, "_k").select("_k", F.sort_array("_ps").alias("_ps"), "_set")
-        big = sorted_out(shared(kids.mapInPandas(released(_split), "_p long, _k long, _n long").distinct()), level == depth)
+        kept = shared(stored(more.distinct()))
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
@@ -520,20 +523,6 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
     return rows.select("doc_id", "_r", "_k"), freed(stored(every))
 
 
-def _split(batches):
-    import pandas as pd
-
-    for pdf in batches:
-        ps, ks, ns = [], [], []
-        for k, nodes, s in zip(pdf["_k"], pdf["_ps"], pdf["_set"], strict=True):
-            _, kids = children(np.asarray(s, np.int64).view(np.uint64), np.asarray(nodes, np.int64).view(np.uint64))
-            ps.append(kids.view(np.int64))
-            ks.append(np.full(len(kids), k, np.int64))
-            ns.append(np.full(len(kids), len(s), np.int64))
-        if ps:
-            yield pd.DataFrame({"_p": np.concatenate(ps), "_k": np.concatenate(ks), "_n": np.concatenate(ns)})
-
-
 def join(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, class_id, n_links for every row: the least doc_id of its class, and how many other rows have Jaccard >= 0.8 with it.
 
@@ -553,12 +542,16 @@ def one_of_each(docs: DataFrame, **limits) -> DataFrame:
     where there is no other. An empty table gives an empty result. A caller's columns may have any names.
     """
     cols, (id_, row, mine) = docs.columns, spare(docs, "_id", "_row", "_mine")
-    _, sets = classes(docs, **limits)
+    rows, sets = classes(docs, **limits)
     keep = sets.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_row")).alias("one"))
     keep = keep.select(F.col("one._first").alias(id_), F.col("one._row").alias(row))
-    own = docs.withColumn(mine, row_key())
-    own = own.join(keep, (F.col(mine) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    return own.dropDuplicates(["doc_id", mine]).select(*cols)
+    same = lambda r: (r == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    gone = rows.join(keep, same(F.col("_r")), "left_anti").select(F.col("doc_id").alias(id_), F.col("_r").alias(row)).distinct()
+    # the rows that go are the fewer, so their keys are sent to the texts
+    own = docs.withColumn(mine, row_key()).join(few(gone), same(F.col(mine)), "left_anti")
+    if not rows.groupBy("doc_id", "_r").count().filter("count > 1").isEmpty():
+        own = own.dropDuplicates(["doc_id", mine])
+    return own.select(*cols)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
