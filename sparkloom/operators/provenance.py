@@ -57,16 +57,24 @@ def quadrant(reliance: Column, hit: Column) -> Column:
     )
 
 
-def phrase_counts(phrases: DataFrame, corpus: DataFrame, examples: int = 2) -> DataFrame:
-    """phrase, n (exact occurrences over all documents), docs (ids of the first few). The phrases are a stated set and the broadcast side;
-    both texts are normalised; each document is read once."""
-    from .retrieval import small
+def phrase_counts(phrases: DataFrame, corpus: DataFrame, examples: int = 2, around: int = 300) -> DataFrame:
+    """phrase, n (exact occurrences over all documents), docs (ids of the first few, by id) and snippets (up to ``around`` characters of each
+    of those, from half as many before the phrase on). Both texts are normalised. Sums are partial; only the first few rows of a phrase are
+    gathered, each partition keeping no more."""
+    from pyspark.sql import Window
 
-    p = small(phrases.select("phrase", T.normalised(F.col("phrase")).alias("_p")).filter("_p <> ''").distinct())
-    d = corpus.select("doc_id", T.normalised(F.col("text")).alias("_d")).join(p, F.contains("_d", F.col("_p")))
+    from ..sources.tables import stored
+    from .retrieval import holding
+
+    asked = phrases.select("phrase").distinct()
     n = (F.length("_d") - F.length(F.replace("_d", "_p", F.lit("")))) / F.length("_p")
-    found = d.withColumn("n", n.cast("long")).groupBy("phrase").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, examples).alias("docs"))
-    return phrases.select("phrase").distinct().join(found, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"), "docs")
+    at = F.greatest(F.instr("_d", F.col("_p")) - around // 2, F.lit(1))
+    found = stored(holding(corpus, asked.withColumn("text", F.col("phrase")), "phrase").select("phrase", "doc_id", n.cast("long").alias("n"), F.substr("_d", at, F.lit(around)).alias("snippet")))
+    first = found.groupBy("phrase", "doc_id").agg(F.min("snippet").alias("snippet")).withColumn("_i", F.row_number().over(Window.partitionBy("phrase").orderBy("doc_id"))).filter(F.col("_i") <= examples)
+    shown = first.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("doc_id", "snippet"))).alias("shown"))
+    found = found.groupBy("phrase").agg(F.sum("n").alias("n")).join(shown, "phrase")
+    each = lambda name: F.transform("shown", lambda x: x[name]).alias(name + "s")
+    return asked.join(found, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"), each("doc_id").alias("docs"), each("snippet"))
 
 
 def divergence(lp: Column, lq: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a query side that may be broadcast; beyond it the join is left to shuffle.
@@ -39,18 +40,19 @@ class Index:
 
 
 def build_index(docs: DataFrame, text: Column, least_tokens: int = 30) -> Index:
-    """docs: doc_id and what ``text`` needs. Documents of fewer tokens are not indexed.
+    """docs: doc_id and what ``text`` needs. Documents of fewer tokens are not indexed. The tables are written once, so texts are read
+    and cut into tokens once, whatever uses the index.
 
     idf is ln(N - df + .5) - ln(df + .5); negative ones become EPSILON times the mean idf over the vocabulary before replacement.
     """
     kept = docs.select("doc_id", T.tokens(text).alias("ws")).filter(F.size("ws") >= least_tokens)
-    postings = kept.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    totals = kept.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-    terms = terms.select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = terms.agg(F.avg("raw").alias("mean"))
-    terms = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, totals)
+    postings = stored(kept.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    totals = stored(per_doc.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl")))
+    n_docs = F.lit(totals.first()["n_docs"])
+    terms = stored(postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = F.lit(terms.agg(F.avg("raw")).first()[0]).cast("double")
+    return Index(postings, terms.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf")), totals)
 
 
 def top(scored: DataFrame, k: int, key: str = "query_id", also: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +68,8 @@ def bm25(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = small(asked.join(index.terms.select("term", "idf"), "term"))
-    hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.totals))
+    totals = index.totals.first()
+    hits = index.postings.join(asked, "term").withColumn("avgdl", F.lit(totals["avgdl"]).cast("double"))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
@@ -113,31 +116,69 @@ def fuse(lists: list[DataFrame], top_k: int, k: int = 60) -> DataFrame:
 
 
 def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, top_k: int) -> DataFrame:
-    """The offline scorer: the share of a query's distinct tokens that the document holds. Order by score, then prior rank. Texts are joined
-    late, by id, for the pool only. A trained cross-encoder takes this place through ``ports.score_pairs``."""
+    """The offline scorer: the share of a query's distinct tokens that the document holds. Order by score, then prior rank. The pool's ids
+    go to the documents first, so texts outside it are neither cut into tokens nor moved. A trained cross-encoder takes this place through
+    ``ports.score_pairs``."""
     q = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("q"))
-    d = docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("d"))
-    scored = ranked.select("query_id", "doc_id", F.col("rank").alias("prior")).join(small(q), "query_id").join(d, "doc_id")
+    ranked = ranked.select("query_id", "doc_id", F.col("rank").alias("prior"))
+    pool = docs.select("doc_id", "text").join(small(ranked.select("doc_id").distinct()), "doc_id", "left_semi")
+    d = pool.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("d"))
+    scored = d.join(small(ranked), "doc_id").join(small(q), "query_id")
     scored = scored.withColumn("score", F.round(F.size(F.array_intersect("q", "d")) / F.greatest(F.size("q"), F.lit(1)), 6))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "prior", "doc_id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_k).select("query_id", "doc_id", "rank", "score", "prior")
 
 
 def pipelines(docs: DataFrame, queries: DataFrame, top_k: int = 100, pool: int = 100) -> dict[str, DataFrame]:
-    """The four: dense, dense with rerank, hybrid, hybrid with rerank. The pool is used where there is fusion or reranking."""
+    """The four: dense, dense with rerank, hybrid, hybrid with rerank. The pool is used where there is fusion or reranking. The two ranked
+    lists that the four share are written once, and both pools are scored in one pass over the documents."""
     vectors = docs.select("doc_id", hashed_vector(F.col("text")).alias("v"))
     asked = queries.select("query_id", hashed_vector(F.col("text")).alias("q"))
-    dense = nearest(vectors, asked, max(pool, top_k)).cache()
+    dense = stored(nearest(vectors, asked, max(pool, top_k)))
     lexical = bm25(build_index(docs, F.col("text")), queries, pool)
-    hybrid = fuse([dense.filter(F.col("rank") <= pool), lexical], max(pool, top_k)).drop("source_ranks").cache()
+    hybrid = stored(fuse([dense.filter(F.col("rank") <= pool), lexical], max(pool, top_k)).drop("source_ranks"))
+    both = [x.filter(F.col("rank") <= pool).select(F.lit(n).alias("run"), "query_id", "doc_id", "rank") for n, x in (("d", dense), ("h", hybrid))]
+    asked = stored(both[0].unionByName(both[1]))
+    again = stored(rerank(asked.select(F.struct("run", "query_id").alias("query_id"), "doc_id", "rank"), _twice(queries), docs, top_k).drop("prior"))
+    run = lambda n: again.filter(F.col("query_id.run") == n).withColumn("query_id", F.col("query_id.query_id"))
     return {
         "dense": dense.filter(F.col("rank") <= top_k),
-        "dense_rerank": rerank(dense.filter(F.col("rank") <= pool), queries, docs, top_k).drop("prior"),
+        "dense_rerank": run("d"),
         "hybrid": hybrid.filter(F.col("rank") <= top_k),
-        "hybrid_rerank": rerank(hybrid.filter(F.col("rank") <= pool), queries, docs, top_k).drop("prior"),
+        "hybrid_rerank": run("h"),
     }
 
 
+def _twice(queries: DataFrame) -> DataFrame:
+    """Each query once for each of the two pools."""
+    named = queries.select(F.explode(F.array(F.lit("d"), F.lit("h"))).alias("run"), "query_id", "text")
+    return named.select(F.struct("run", "query_id").alias("query_id"), "text")
+
+
+def holding(docs: DataFrame, phrases: DataFrame, key: str = "query_id") -> DataFrame:
+    """docs: doc_id, text. phrases: key, text. Pairs key, doc_id, _d, _p where a document holds the phrase, both normalised (_d and _p).
+
+    What lies between a phrase's first and last word stands in such a document as whole words, so three words of it (the longest, which
+    are the rarest) are a key: hashes of three words meet the phrases' keys, and only what meets is read again and compared. Phrases of
+    fewer than five words have no such key and are looked for in every text; blank ones are left out.
+    """
+    p = stored(phrases.select(key, T.normalised(F.col("text")).alias("_p")).filter("_p <> ''").distinct())
+    ws = F.split("_p", " ")
+    places = F.sequence(F.lit(2), F.size("ws") - 3)
+    grams = F.transform(places, lambda i: F.slice("ws", i, 3))
+    best = F.array_max(F.transform(grams, lambda g: F.struct(F.length(F.concat_ws(" ", g)).alias("n"), g.alias("g"))))["g"]
+    long_ = p.withColumn("ws", ws).filter(F.size("ws") >= 5).select(key, "_p", F.xxhash64(best).alias("_gram"))
+    short = p.filter(F.size(ws) < 5)
+    d = docs.select("doc_id", T.normalised(F.col("text")).alias("_d"))
+    words = d.select("doc_id", F.split("_d", " ").alias("ws")).filter(F.size("ws") >= 3)
+    hashes = words.select("doc_id", F.explode(T.let(F.col("ws"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, 3))))).alias("_gram"))
+    near = stored(hashes.join(small(long_.select("_gram", key)), "_gram").select("doc_id", key).distinct())
+    found = d.join(small(near), "doc_id").join(small(long_.select(key, "_p")), key).filter(F.contains("_d", F.col("_p"))).select(key, "doc_id", "_d", "_p")
+    if short.isEmpty():
+        return found
+    return found.unionByName(d.join(small(short), F.contains("_d", F.col("_p"))).select(key, "doc_id", "_d", "_p"))
+
+
 def signatures(v: Column, tables: int, bits: int, seed: int = 7) -> Column:
     """Sign bits on random hyperplanes, one number a table."""
     from pyspark.sql.functions import pandas_udf

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
 from ..operators import retrieval as R
 from ..sources import files as S
+from ..sources.tables import scratch
 from .registry import load, query
 
 COL = F.col
 BASE, DAY = "https://site.example", "20240131"
 
 
-def scratch(spark) -> str:
-    """A new folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/sparkloom/{uuid.uuid4().hex}"
-
-
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def jsonl_strict(spark, sf_dir):
     p = scratch(spark)

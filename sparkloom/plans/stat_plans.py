@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ports
 from ..operators import stats as S
+from ..sources.tables import stored
 from .registry import load, query
 from .text_plans import T
 
@@ -152,22 +153,28 @@ def percentile_profile(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(q)), 6).alias(n) for n, q in p.items()), *under)
 
 
-def _pairs(spark, sf_dir, most=3):
-    """(document, sentence) pairs. The SQL of score_pairs, keep_fraction and holdout_split fixes the first three sentences of a document, as
-    the questions it would have got; with None all sentences are taken."""
+def _pairs(spark, sf_dir):
+    """(document, sentence) pairs: every sentence of every document stands for a question it would have got."""
     d = load(spark, sf_dir, "documents", "doc_id", "text")
-    q = F.filter(F.transform(F.split("text", r"\."), F.trim), lambda s: s != "")
-    return d.select("doc_id", F.posexplode(q if most is None else F.slice(q, 1, most)).alias("q_idx", "question"), T.tokens(COL("text")).alias("ws"))
+    q = F.filter(F.transform(F.split("text", r"\."), lambda s: F.trim(s)), lambda s: s != "")
+    return d.select("doc_id", F.posexplode(q).alias("q_idx", "question"))
 
 
 _PAIRS = r"""SELECT doc_id, q_idx, question, len(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+')) AS nq, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+')), list_distinct(ws))) AS hit, len(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}_]+'))) AS nd
-FROM (SELECT doc_id, unnest(qs[1:3]) AS question, generate_subscripts(qs[1:3], 1) - 1 AS q_idx, ws FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS qs, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents))"""
+FROM (SELECT doc_id, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS q_idx, ws FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS qs, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents))"""
 
 
 def scored_pairs(spark, sf_dir):
-    qs = T.tokens(COL("question"))
-    p = _pairs(spark, sf_dir)
-    return p.select("doc_id", "q_idx", "question", F.round(F.size(F.array_intersect(F.array_distinct(qs), F.array_distinct("ws"))) / F.greatest(F.size(F.array_distinct(qs)), F.lit(1)) + F.size(qs) / 1000, 6).alias("score"))
+    """Scores are made inside the document's row, where its words are at hand once; only sentences and scores leave it."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text")
+    sentences = F.filter(F.transform(F.split("text", r"\."), lambda s: F.trim(s)), lambda s: s != "")
+
+    def score(question, ws):
+        own = lambda qs: F.round(F.size(F.array_intersect(F.array_distinct(qs), ws)) / F.greatest(F.size(F.array_distinct(qs)), F.lit(1)) + F.size(qs) / 1000, 6)
+        return F.struct(question.alias("question"), T.let(T.tokens(question), own).alias("score"))
+
+    scored = T.let(F.array_distinct(T.tokens(COL("text"))), lambda ws: F.transform(sentences, lambda s: score(s, ws)))
+    return d.select("doc_id", F.posexplode(scored).alias("q_idx", "p")).select("doc_id", "q_idx", "p.question", "p.score")
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT doc_id, CAST(q_idx AS INTEGER) AS q_idx, round(hit / greatest(nd, 1) + nq / 1000, 6) AS score FROM p WHERE doc_id % 4 <> 0")
@@ -181,7 +188,7 @@ def score_pairs(spark, sf_dir):
 """ + " UNION ALL ".join(f"SELECT {f} AS keep, doc_id, q_idx FROM p WHERE score >= (SELECT {'min(score)' if f == 1.0 else f'quantile_cont(score, {round(1 - f, 2)})'} FROM p)" for f in (1.0, 0.75, 0.5, 0.25)) + ") SELECT CAST(keep AS DOUBLE) AS keep, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY keep")
 def keep_fraction(spark, sf_dir):
     """One threshold over all scores for each fraction; documents left without questions drop out."""
-    p, every = scored_pairs(spark, sf_dir).cache(), None
+    p, every = stored(scored_pairs(spark, sf_dir)), None
     for f in (1.0, 0.75, 0.5, 0.25):
         one = S.keep_fraction(p, f).select(F.lit(f).alias("keep"), "doc_id")
         every = one if every is None else every.unionByName(one)
@@ -239,4 +246,5 @@ def generated_questions(spark, sf_dir):
 def cross_encoder_port(spark, sf_dir):
     """The pair scorer port with its offline stand-in, for every sentence of every document."""
     score = ports.score_pairs(lambda: ports.overlap_scorer())
-    return _pairs(spark, sf_dir, None).select("doc_id", "q_idx", score(F.array_join("ws", " "), COL("question")).alias("score"))
+    texts = load(spark, sf_dir, "documents", "doc_id", F.array_join(T.tokens(COL("text")), " ").alias("words"))
+    return _pairs(spark, sf_dir).join(texts, "doc_id").select("doc_id", "q_idx", score(COL("words"), COL("question")).alias("score"))
