@@ -77,7 +77,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", bucket_bytes: int = 8_000_00
     parts = max(1, min(most_buckets, size // bucket_bytes))
     ids = docs.select(key).filter(F.col(key).isNotNull())
     if parts > 1:
-        ids = ids.repartitionByRange(parts, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias(key))
+        ids = ids.repartitionByRange(parts, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias(key)).select(key)
     else:
         ids = ids.agg(F.min(key).alias(key))
     bounds = sorted(r[0] for r in ids.collect() if r[0] is not None)
