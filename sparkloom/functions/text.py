@@ -206,7 +206,7 @@ def parse_questions(c: Column, most: int) -> Column:
 def parse_paraphrase(c: Column, original: Column) -> Column:
     """The first line with a question mark, else the first line; a bullet, a number, a label and quotes go; cut at the mark and cleaned;
     the original where nothing is left."""
-    lines = F.filter(F.transform(F.split(or_empty(c), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(or_empty(c), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     line = F.coalesce(F.get(F.filter(lines, lambda x: x.contains("?")), F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
     line = F.regexp_replace(F.regexp_replace(line, r"^(\* |- |• |→ )\s*", ""), r"^\d+[.)]\s*", "")
     line = F.regexp_replace(line, r"(?i)^\s*(?:rewritten|rephrased|paraphrased|reworded|new)?\s*question\s*[:\-]\s*", "")
