@@ -189,10 +189,20 @@ def clean_question(c: Column) -> Column:
     return F.when(c == "", "").when(c.endswith("?"), c).otherwise(F.concat(c, F.lit("?")))
 
 
+# What a list's lines begin with, in the order in which it is taken off, and what ends a line's number, in order of precedence.
+BULLETS = ["* ", "- ", "• ", "→ "]
+NUMBER_ENDS = [". ", ") ", " - ", ": "]
+
+
 def _bare(line: Column) -> Column:
-    line = F.regexp_replace(F.trim(line), r"^(\* |- |• |→ )", "")
-    numbered = F.length(line) > 2
-    return F.when(numbered, F.regexp_replace(line, r"^([0-9][^.):-]{0,2}?)(\. |\) | - |: )\s*", "")).otherwise(line)
+    """A line without its bullets (each kind once) and its number, if that ends within five characters."""
+    line = F.trim(line)
+    for b in BULLETS:
+        line = F.when(line.startswith(b), F.trim(F.substring(line, len(b) + 1, 1 << 30))).otherwise(line)
+    start, text = F.substring(line, 1, 5), line
+    for end in reversed(NUMBER_ENDS):
+        text = F.when(start.contains(end), F.trim(F.substr(line, F.instr(line, end) + len(end)))).otherwise(text)
+    return F.when((F.length(line) > 2) & line.rlike(r"^\d"), text).otherwise(line)
 
 
 def parse_questions(c: Column, most: int) -> Column:

@@ -102,3 +102,7 @@ def decompose(dd: Column, dh: Column, hd: Column, hh: Column) -> list[Column]:
 def gold_on_top(drops: Column, rank: Column) -> Column:
     """Is the gold passage the one whose removal costs most? Null with any null drop or without gold."""
     return F.when(rank.isNull() | F.exists(drops, lambda d: d.isNull()), F.lit(None).cast("boolean")).otherwise(F.array_position(drops, F.array_max(drops)) == rank)
+
+
+def position_bucket(rank: Column) -> Column:
+    return F.when(rank.isNull(), "none").when(rank == 1, "1").when(rank <= 3, "2-3").when(rank <= 7, "4-7").otherwise("8+")

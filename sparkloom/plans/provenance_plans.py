@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import provenance as P
 from ..operators import retrieval as R
+from ..operators import stats as S
+from ..sources.tables import stored
 from .registry import load, query
 from .text_plans import T
 
@@ -167,6 +169,32 @@ def difference_in_differences(spark, sf_dir):
     return _cells(spark, sf_dir).agg(gap(F.lit(True)).alias("did"), gap(COL("dd") > 5).alias("did_per_protocol"))
 
 
+_REPS = 60
+_SIDE = """{n}_c AS (SELECT k, s, n, row_number() OVER (ORDER BY k) - 1 AS place FROM ({rows})), {n}_n AS (SELECT count(*) AS t FROM {n}_c),
+{n} AS (SELECT rep, sum(s) / sum(n) AS m FROM (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', '{n}', rep, draw)), 1, 8) AS BIGINT) % t AS place FROM {n}_n, range(60) r(rep), range(t) d(draw)) JOIN {n}_c USING (place) GROUP BY rep)"""
+_BY_Q = "SELECT q AS k, sum(hh - dd) AS s, count(*) AS n FROM c WHERE hh - dd IS NOT NULL AND {} GROUP BY q"
+_BY_CLUSTER = "SELECT q // 5 AS k, sum(hh - dd) AS s, count(*) AS n FROM c WHERE hh - dd IS NOT NULL AND {} GROUP BY q // 5"
+_GAP = "SELECT '{u}' AS unit, round(quantile_cont(x.m - y.m, 0.025), 6) AS low, round(quantile_cont(x.m - y.m, 0.975), 6) AS high FROM {x} x JOIN {y} y USING (rep)"
+
+
+@query(
+    f"WITH c AS ({_CELLS}), "
+    + ", ".join(_SIDE.format(n=f"{u}{side}", rows=rows.format(cond)) for u, rows in (("q", _BY_Q), ("c", _BY_CLUSTER)) for side, cond in (("r", "rescued"), ("k", "NOT rescued")))
+    + " " + _GAP.format(u="question", x="qr", y="qk") + " UNION ALL " + _GAP.format(u="cluster", x="cr", y="ck")
+)
+def did_intervals(spark, sf_dir):
+    """Intervals of rescued minus control shifts: each side resampled on its own, by question and by cluster (five questions stand for one)."""
+    c, out = _cells(spark, sf_dir).withColumn("s", COL("hh") - COL("dd")).filter("s IS NOT NULL"), None
+    for unit, letter, key in (("question", "q", COL("q")), ("cluster", "c", F.floor(COL("q") / 5))):
+        sides = []
+        for side, rows in (("r", c.filter("rescued")), ("k", c.filter("NOT rescued"))):
+            sums = stored(rows.groupBy(key.alias("k")).agg(F.sum("s").alias("s"), F.count("*").alias("n")))
+            sides.append(S.bootstrap(sums, "k", ["s"], _REPS, letter + side))
+        one = sides[0].join(sides[1].withColumnRenamed("s", "t"), "rep").agg(*S.interval(COL("s") - COL("t"))).select(F.lit(unit).alias("unit"), "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH c AS ({_CELLS}) SELECT round(max(abs((hd - dd) + (hh - dh)) / 2), 6) AS max_a, round(max(abs(dd + hh - dh - hd)), 6) AS max_i, round(max(abs((dh - dd + hh - hd) / 2 - (hh - dd))), 6) AS max_gap FROM c WHERE q % 3 = 0")
 def identical_answers(spark, sf_dir):
     """What would be 0 if the two answers were the same (questions of a third of the ids stand for identical answers)."""
@@ -181,11 +209,30 @@ _DROPS = "SELECT user_id AS q, list(CASE WHEN event_id % 97 = 0 THEN NULL ELSE v
 SELECT q, CASE WHEN gold_rank IS NULL OR len(list_filter(drops, lambda x: x IS NULL)) > 0 THEN NULL ELSE list_position(drops, list_max(drops)) = gold_rank END AS gold_on_top,
 CASE WHEN gold_rank IS NULL THEN 'none' WHEN gold_rank = 1 THEN '1' WHEN gold_rank <= 3 THEN '2-3' WHEN gold_rank <= 7 THEN '4-7' ELSE '8+' END AS bucket FROM d""")
 def gold_saliency(spark, sf_dir):
-    drops = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("event_id", F.when(COL("event_id") % 97 != 0, COL("value")).alias("v")))), 1, 8), lambda x: x["v"])
-    d = load(spark, sf_dir, "events").groupBy(COL("user_id").alias("q")).agg(drops.alias("drops")).withColumn("gold_rank", F.when(COL("q") % 4 != 0, COL("q") % 4))
-    r = COL("gold_rank")
-    bucket = F.when(r.isNull(), "none").when(r == 1, "1").when(r <= 3, "2-3").when(r <= 7, "4-7").otherwise("8+")
-    return d.select("q", P.gold_on_top(COL("drops"), r).alias("gold_on_top"), bucket.alias("bucket"))
+    """Eight passages a question, as a reader gets them; only those rows of a question are gathered."""
+    from pyspark.sql import Window
+
+    e = load(spark, sf_dir, "events").select(COL("user_id").alias("q"), "event_id", F.when(COL("event_id") % 97 != 0, COL("value")).alias("v"))
+    first = e.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy("event_id"))).filter("i <= 8")
+    drops = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
+    d = first.groupBy("q").agg(drops.alias("drops")).withColumn("gold_rank", F.when(COL("q") % 4 != 0, COL("q") % 4))
+    return d.select("q", P.gold_on_top(COL("drops"), COL("gold_rank")).alias("gold_on_top"), P.position_bucket(COL("gold_rank")).alias("bucket"))
+
+
+_POSITIONS = "SELECT event_id AS q, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 11 END AS gold_rank, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS d FROM events"
+_BUCKET = "CASE WHEN gold_rank IS NULL THEN 'none' WHEN gold_rank = 1 THEN '1' WHEN gold_rank <= 3 THEN '2-3' WHEN gold_rank <= 7 THEN '4-7' ELSE '8+' END"
+
+
+@query(f"""
+WITH p AS ({_POSITIONS}), k AS (SELECT *, {_BUCKET} AS bucket FROM p WHERE d IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY gold_rank) + (count(*) OVER (PARTITION BY gold_rank) - 1) / 2.0 AS ra, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS rb FROM k WHERE gold_rank IS NOT NULL)
+SELECT bucket, count(*) AS n, round(avg(d), 6) AS mean_drop, (SELECT round(corr(ra, rb), 6) FROM r) AS rho FROM k GROUP BY bucket
+""")
+def position_buckets(spark, sf_dir):
+    """Does a passage's place explain what its removal costs? Mean drop by bucket of the gold rank, and Spearman of rank and drop."""
+    p = load(spark, sf_dir, "events").select(F.when(COL("event_id") % 11 != 0, COL("event_id") % 11).alias("gold_rank"), F.when(COL("event_id") % 97 != 0, COL("value")).alias("d")).filter("d IS NOT NULL")
+    rho = S.spearman(p.filter("gold_rank IS NOT NULL"), "gold_rank", "d").select("rho")
+    return p.groupBy(P.position_bucket(COL("gold_rank")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_drop")).crossJoin(F.broadcast(rho))
 
 
 _ARMS = "SELECT conv_id AS q, turn % 2 = 0 AS dense, conv_id % 3 = turn % 3 AS refused, text FROM conversations"
@@ -203,6 +250,21 @@ def refusal_pairs(spark, sf_dir):
     return p.agg(F.count_if(rd & ~rh).alias("cured"), F.count_if(rh & ~rd).alias("caused"), F.count_if(~rd & ~rh).alias("main_arm"), F.count_if(rd & ~rh).alias("refusal_arm"), F.count_if(rd.isNull() | rh.isNull()).alias("unpaired"))
 
 
+@query(f"""
+WITH a AS ({_ARMS}), p AS (SELECT q, bool_or(refused) FILTER (dense) AS rd, bool_or(refused) FILTER (NOT dense) AS rh FROM a GROUP BY q),
+k AS (SELECT count(*) FILTER (rd AND NOT rh) AS cured, count(*) FILTER (rh AND NOT rd) AS caused, avg(CAST(rh AS INT) - CAST(rd AS INT)) FILTER (q % 2 = 0) - avg(CAST(rh AS INT) - CAST(rd AS INT)) FILTER (q % 2 <> 0) AS did FROM p)
+SELECT cured, caused, CASE WHEN cured + caused = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(cured + caused + 1) - lgamma(i + 1) - lgamma(cured + caused - i + 1) - (cured + caused) * ln(2))) FROM range(least(cured, caused) + 1) r(i))), 6) END AS p, round(did, 6) AS did FROM k
+""")
+def refusal_outcome(spark, sf_dir):
+    """Refusal itself as the outcome: cured against caused with the exact p, and the shift of even questions less that of odd ones."""
+    a = load(spark, sf_dir, "conversations").select(COL("conv_id").alias("q"), (COL("turn") % 2 == 0).alias("dense"), (COL("conv_id") % 3 == COL("turn") % 3).alias("refused"))
+    p = a.groupBy("q").agg(F.bool_or(F.when(COL("dense"), COL("refused"))).alias("rd"), F.bool_or(F.when(~COL("dense"), COL("refused"))).alias("rh"))
+    rd, rh, even = COL("rd"), COL("rh"), COL("q") % 2 == 0
+    shift = rh.cast("int") - rd.cast("int")
+    k = p.agg(F.count_if(rd & ~rh).alias("cured"), F.count_if(rh & ~rd).alias("caused"), F.round(F.avg(F.when(even, shift)) - F.avg(F.when(~even, shift)), 6).alias("did"))
+    return k.select("cured", "caused", F.round(S.mcnemar(COL("cured"), COL("caused")), 6).alias("p"), "did")
+
+
 @query(f"""
 WITH a AS ({_ARMS}) SELECT q % 2 = 0 AS rescued, dense, count(*) AS n, count(*) FILTER (refused) AS n_refused, count(*) FILTER (trim(text) = '') AS n_empty FROM a GROUP BY ALL
 """)

@@ -154,13 +154,15 @@ def search_hits(spark, sf_dir):
     return docs.join(R.small(hits), "doc_id").select("query_id", "rank", "score", COL("source").alias("title"), T.snippet(COL("text"), 80).alias("snippet"))
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}'), lambda x: NOT list_contains(['the','and','for','with','that','this','are','was','from'], x)) AS ws FROM documents WHERE lang = 'en'),
+_TERMS = r"""
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}'), lambda x: NOT list_contains(['the','and','for','with','that','this','are','was','from'], x)) AS ws FROM documents WHERE lang = 'en'),
 g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))) AS g FROM w),
 c AS (SELECT doc_id, g, count(*) AS tf FROM g WHERE g IS NOT NULL GROUP BY ALL),
-v AS (SELECT g, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY g HAVING count(*) >= 2 AND count(*) <= 0.15 * (SELECT count(*) FROM w))
-SELECT g AS term, df, total FROM v ORDER BY total DESC, g LIMIT 50000
-""")
+v AS (SELECT g, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY g HAVING count(*) >= 2 AND count(*) <= 0.15 * (SELECT count(*) FROM w)),
+k AS (SELECT g AS term, df, total FROM v ORDER BY total DESC, g LIMIT 50000)"""
+
+
+@query(f"WITH {_TERMS} SELECT term, df, total FROM k")
 def keyword_vocabulary(spark, sf_dir):
     """The first of two passes: one- and two-word terms by document frequency bounds, the 50,000 most frequent."""
     return _keywords(spark, sf_dir)[1]
@@ -177,7 +179,7 @@ def _keywords(spark, sf_dir):
     return counts, vocabulary.orderBy(F.desc("total"), "term").limit(50_000).select("term", "df", "total"), n
 
 
-@query()
+@query(f"WITH {_TERMS}, s AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM w) / df), 6) AS score FROM c JOIN k ON c.g = k.term) SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 10")
 def keyword_tfidf(spark, sf_dir):
     """The second pass: each document's ten best terms by tf-idf."""
     counts, vocabulary, n = _keywords(spark, sf_dir)

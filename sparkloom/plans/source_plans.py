@@ -187,8 +187,7 @@ def shard_merge(spark, sf_dir):
     p, b = scratch(spark), load(spark, sf_dir, "benchmark", "item_id")
     b.select("item_id", F.lit("shard0").alias("shard")).coalesce(1).write.json(f"{p}/a")
     b.filter("item_id % 2 = 0").select("item_id", F.lit("shard1").alias("shard")).coalesce(1).write.json(f"{p}/b")
-    rows = spark.read.schema("item_id long, shard string").json([f"{p}/a", f"{p}/b"]).withColumn("_f", F.regexp_extract(COL("_metadata.file_path"), "/([ab])/[^/]*$", 1))
-    return rows.groupBy("item_id").agg(F.max_by("shard", "_f").alias("shard"))
+    return S.merge_shards(spark, [f"{p}/a", f"{p}/b"], "item_id long, shard string", "item_id")
 
 
 @query("""

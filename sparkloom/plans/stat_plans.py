@@ -60,10 +60,13 @@ def bootstrap_numpy_mode(spark, sf_dir):
     return S.bootstrap_numpy(n, "v", 200).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query()
+_SEEDS = ", ".join(f"""s{k} AS (SELECT rep, sum(s) / sum(n) AS s FROM (SELECT rep, {_draw(f"'seed{k}'", "rep", "draw")} % t AS place FROM n, range(40) r(rep), range(t) d(draw)) JOIN c USING (place) GROUP BY rep)""" for k in range(5))
+
+
+@query(f"WITH c AS (SELECT *, row_number() OVER (ORDER BY o_custkey) - 1 AS place FROM ({_clusters()})), n AS (SELECT count(*) AS t FROM c), {_SEEDS}, l AS (" + " UNION ALL ".join(f"SELECT round(quantile_cont(s, 0.025), 6) AS low FROM s{k}" for k in range(5)) + ") SELECT min(low) AS least, max(low) AS most, round(stddev_samp(low), 6) AS sd FROM l")
 def seed_stability(spark, sf_dir):
     """Least, greatest and spread of the lower end over seeds."""
-    c = _cluster_sums(spark, sf_dir)
+    c = stored(_cluster_sums(spark, sf_dir))
     lows = reduce(lambda a, b: a.unionByName(b), [S.bootstrap(c, "o_custkey", ["s"], 40, f"seed{k}").agg(*S.interval(COL("s"))) for k in range(5)])
     return lows.agg(F.min("low").alias("least"), F.max("low").alias("most"), F.round(F.stddev_samp("low"), 6).alias("sd"))
 
@@ -80,7 +83,8 @@ WITH h AS ({_HITS}), d AS (
   SELECT '5 base-base', 0, 0 FROM h GROUP BY 1),
 p AS (SELECT pair, n01, n10, CASE WHEN n01 + n10 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2))) FROM range(least(n01, n10) + 1) r(i))) END AS p FROM d),
 s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY round(p, 9), pair) + 1) * p AS s FROM p)
-SELECT pair, n01, n10, round(p, 6) AS p, round(least(1.0, max(s) OVER (ORDER BY round(p, 9), pair ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s
+SELECT *, CASE WHEN p_holm < 0.001 THEN '***' WHEN p_holm < 0.01 THEN '**' WHEN p_holm < 0.05 THEN '*' ELSE '' END AS stars
+FROM (SELECT pair, n01, n10, round(p, 6) AS p, round(least(1.0, max(s) OVER (ORDER BY round(p, 9), pair ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s)
 """)
 def mcnemar_holm(spark, sf_dir):
     """Adjacent runs, and the first against the last."""
@@ -89,7 +93,8 @@ def mcnemar_holm(spark, sf_dir):
     counts = h.agg(*(F.struct(F.lit(n).alias("pair"), F.count_if(COL(x) & ~COL(y)).alias("n01"), F.count_if(COL(y) & ~COL(x)).alias("n10")).alias(f"_{i}") for i, (n, x, y) in enumerate(pairs)))
     d = counts.select(F.inline(F.array(*(COL(f"_{i}") for i in range(len(pairs))))))
     d = d.withColumn("p", S.mcnemar(COL("n01"), COL("n10"))).withColumn("_p", F.round("p", 9))
-    return S.holm(d, "_p").select("pair", "n01", "n10", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
+    held = S.holm(d, "_p").select("pair", "n01", "n10", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
+    return held.withColumn("stars", S.stars(COL("p_holm")))
 
 
 @query("SELECT o_orderpriority AS g, round(avg(x) / stddev_samp(x), 6) AS d, round(stddev_pop(x), 4) AS population_sd, count(*) AS n FROM (SELECT *, o_totalprice - 150000 AS x FROM orders) GROUP BY g")

@@ -183,7 +183,7 @@ def index_text_builders(spark, sf_dir):
 
 
 _ASK = "CASE turn % 4 WHEN 0 THEN 'According to the passage, ' WHEN 1 THEN 'in this short report ,  ' WHEN 2 THEN 'the document states that ' ELSE '' END"
-_RAW = "CASE conv_id % 3 WHEN 0 THEN '1. ' WHEN 1 THEN '- ' ELSE '' END"
+_RAW = "CASE conv_id % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '- ' WHEN 2 THEN '* - ' WHEN 3 THEN '1.) ' ELSE '' END"
 
 
 @query(r"""
@@ -196,7 +196,7 @@ def question_cleanup(spark, sf_dir):
     d = load(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     d = d.withColumn("body", F.trim(F.left(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit(40)))).filter("body <> ''")
     raw = F.expr(f"{_RAW} || body || '? and more\n\nno question here\n' || {_RAW} || body || '?'")
-    return d.select("conv_id", "turn", T.clean_question(F.expr(f"{_ASK} || body || ' ,'")).alias("question"), F.array_join(T.parse_questions(raw, 3), "|").alias("parsed"), T.parse_paraphrase(F.expr("'Rewritten question: \"' || body || '?\"'"), F.lit("x")).alias("paraphrase"))
+    return d.select("conv_id", "turn", T.clean_question(F.expr(f"{_ASK} || body || ' ,'")).alias("question"), F.array_join(T.parse_questions(raw, 3), "|").alias("parsed"), T.parse_paraphrase(F.expr("CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN '- ' ELSE '1. ' END || 'Rewritten question: \"' || body || '?\"'"), F.lit("x")).alias("paraphrase"))
 
 
 @query(r"""

@@ -96,9 +96,9 @@ def docx(body: bytes) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
-def merge_shards(spark: SparkSession, pattern: str, schema: str, key: str) -> DataFrame:
-    """Shards of JSON lines; of equal keys the row of the last file name stays."""
-    rows = spark.read.schema(schema).json(pattern).withColumn("_f", F.col("_metadata.file_name"))
+def merge_shards(spark: SparkSession, paths: str | list[str], schema: str, key: str) -> DataFrame:
+    """Shards of JSON lines; of equal keys the row of the last file, by its whole path, stays."""
+    rows = spark.read.schema(schema).json(paths).withColumn("_f", F.col("_metadata.file_path"))
     rest = [c for c in rows.columns if c not in (key, "_f")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_f").alias("_r")).select(key, "_r.*")
 
