@@ -214,8 +214,8 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", wei
 def emit(mixed: DataFrame, docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed corpus itself: docs' columns and rows, each row as often as it was taken, by output shard and shuffled inside each shard.
 
-    ``mixed`` is the result of ``mix`` on ``docs``. Rows taken no time (null and empty texts among them) go; equal rows are rows of their own;
-    an empty table gives an empty result; a caller's columns may have any names.
+    ``mixed`` is the result of ``mix`` on ``docs``. Rows that are taken no time go; null and empty texts count no words and go along with
+    their block; equal rows are rows of their own; an empty table gives an empty result; a caller's columns may have any names.
     """
     shards = mixed.columns[len(docs.columns) + 4]
     shard, copy, order = spare(mixed, "_shard", "_copy_no", "_order")
