@@ -128,6 +128,7 @@ def is_content(c: Column, density: float = 0.012, years: int = 5) -> Column:
     return ~(head(c, 300).rlike("(?i)" + HEADINGS) | (n == 0) | dense | (F.regexp_count(t, F.lit(YEAR_PAREN)) > years))
 
 
+# What counts as a year, and as a range of years.
 YEAR = r"\b(19[89]\d|20[0-4]\d)\b"
 YEARS = r"\b(19[89]\d|20[0-4]\d)\s*[-–—]\s*(19[89]\d|20[0-4]\d)\b"
 

@@ -48,7 +48,7 @@ def cell_provenance(reliance: Column, hit: Column) -> Column:
 
 
 def quadrant(reliance: Column, hit: Column) -> Column:
-    """Grounded is context alone here; mixed counts as not."""
+    """Grounded is context alone here; mixed counts as not. The five names are fixed values."""
     c = reliance == "context"
     return (
         F.when(hit.isNull(), F.when(c, "context-use (trace n/a)").otherwise("parametric? (trace n/a)"))
