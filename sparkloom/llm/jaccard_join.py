@@ -475,9 +475,9 @@ def classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL, depth:
 
     def shared(open_: DataFrame) -> DataFrame:
         """open_: _p, _k, _n. The buckets of two sets or more; of those with the same members one."""
-        open_ = open_.select("_p", "_k", "_n").repartition("_p")  # one shuffle, for the sums and for the join with them
+        # sums are partial, so a bucket that a third of all sets share is one row a task; the join with a written table can be split where it is skewed
         sized = open_.groupBy("_p").agg(F.count("*").alias("_m"), F.sum("_n").alias("_t"), F.bit_xor(F.xxhash64("_k")).alias("_sig")).filter("_m > 1")
-        return freed(stored(open_.join(sized, "_p").withColumn("_nb", parts_of(block))))
+        return freed(stored(open_.select("_p", "_k", "_n").join(stored(sized), "_p").withColumn("_nb", parts_of(block))))
 
     kept = shared(sets.select(F.explode(F.array_distinct("_paths")).alias("_p"), "_k", "_n"))
     wanted = kept.select("_k").distinct().join(sets.select("_k", "doc_id", "_r"), "_k")
