@@ -169,17 +169,26 @@ _PAIRS = r"""SELECT doc_id, q_idx, question, len(regexp_extract_all(lower(questi
 FROM (SELECT doc_id, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS q_idx, ws FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS qs, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents))"""
 
 
+def sentence_scores(text="text"):
+    """A document's sentences as question, words, score. A sentence's words are words of its text, since no word holds a full stop; only a
+    capital sigma's lower case depends on what stands near, so texts with one are searched, once, for words that they lack."""
+    sentences = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: s != "")
+    cut = F.transform(sentences, lambda s: F.struct(s.alias("question"), T.tokens(s).alias("words")))
+
+    def scored(cut, lacking):
+        def score(own, n):
+            return F.round((F.size(own) - F.when(F.size(lacking) == 0, 0).otherwise(F.size(F.array_intersect(own, lacking)))) / F.greatest(F.size(own), F.lit(1)) + n / 1000, 6)
+
+        return F.transform(cut, lambda x: F.struct(x["question"].alias("question"), x["words"].alias("words"), T.let(F.array_distinct(x["words"]), lambda own: score(own, F.size(x["words"]))).alias("score")))
+
+    lacking = lambda cut: F.when(F.contains(COL(text), F.lit("Σ")), F.array_except(F.flatten(F.transform(cut, lambda x: x["words"])), T.tokens(COL(text)))).otherwise(T.texts([]).cast("array<string>"))
+    return T.let(cut, lambda c: T.let(lacking(c), lambda gone: scored(c, gone)))
+
+
 def scored_pairs(spark, sf_dir):
     """Scores are made inside the document's row, where its words are at hand once; only sentences and scores leave it."""
     d = load(spark, sf_dir, "documents", "doc_id", "text")
-    sentences = F.filter(F.transform(F.split("text", r"\."), lambda s: F.trim(s)), lambda s: s != "")
-
-    def score(question, ws):
-        own = lambda qs: F.round(F.size(F.array_intersect(F.array_distinct(qs), ws)) / F.greatest(F.size(F.array_distinct(qs)), F.lit(1)) + F.size(qs) / 1000, 6)
-        return F.struct(question.alias("question"), T.let(T.tokens(question), own).alias("score"))
-
-    scored = T.let(F.array_distinct(T.tokens(COL("text"))), lambda ws: F.transform(sentences, lambda s: score(s, ws)))
-    return d.select("doc_id", F.posexplode(scored).alias("q_idx", "p")).select("doc_id", "q_idx", "p.question", "p.score")
+    return d.select("doc_id", F.posexplode(sentence_scores()).alias("q_idx", "p")).select("doc_id", "q_idx", "p.question", "p.score")
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT doc_id, CAST(q_idx AS INTEGER) AS q_idx, round(hit / greatest(nd, 1) + nq / 1000, 6) AS score FROM p WHERE doc_id % 4 <> 0")

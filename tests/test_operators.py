@@ -1,5 +1,7 @@
 import math
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -215,12 +217,27 @@ def test_runs_of_one_pass_equal_an_index_each(spark):
                 assert lists(got.filter(F.col("run") == run).drop("run")) == lists(want), (run, least)
 
 
-def test_count_ablation_writes_no_postings_a_run(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("name", ["count_ablation", "keep_fraction_sweep"])
+def test_compared_runs_write_no_postings_each(spark, tmp_path, monkeypatch, name):
     from sparkloom.plans import metric_plans
     from sparkloom.sources import tables
 
-    monkeypatch.setattr(tables, "scratch", lambda s: f"{tmp_path}/{__import__('uuid').uuid4().hex}")
+    monkeypatch.setattr(tables, "scratch", lambda s: f"{tmp_path}/{uuid.uuid4().hex}")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     pairs = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"))))).count()
-    assert metric_plans.count_ablation(spark, "/root/testdata/sf0.001").count() == 4
-    assert written_rows(tmp_path) < 2 * pairs
+    getattr(metric_plans, name)(spark, "/root/testdata/sf0.001").count()
+    assert written_rows(tmp_path) < 1.5 * pairs
+
+
+def test_sentence_scores_count_words_that_the_text_has(spark):
+    from sparkloom.plans.stat_plans import sentence_scores
+
+    texts = ["One two. one ONE.  . three", "ΟΔΟΣ.ΑΒ ΟΔΟΣ. ΟΔΟΣ", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ws = T.tokens(F.col("text"))
+    want = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"\."), lambda s: F.trim(s)), lambda s: s != "")).alias("q_idx", "question"), ws.alias("ws"))
+    own = T.tokens(F.col("question"))
+    want = want.select("doc_id", "q_idx", "question", F.round(F.size(F.array_intersect(own, "ws")) / F.greatest(F.size(F.array_distinct(own)), F.lit(1)) + F.size(own) / 1000, 6).alias("score"))
+    got = docs.select("doc_id", F.posexplode(sentence_scores()).alias("q_idx", "p")).select("doc_id", "q_idx", "p.question", "p.score")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() == 6
