@@ -217,7 +217,7 @@ def test_runs_of_one_pass_equal_an_index_each(spark):
                 assert lists(got.filter(F.col("run") == run).drop("run")) == lists(want), (run, least)
 
 
-@pytest.mark.parametrize("name", ["count_ablation", "keep_fraction_sweep", "kendall_jaccard"])
+@pytest.mark.parametrize("name", ["count_ablation", "keep_fraction_sweep", "kendall_jaccard", "run_profile"])
 def test_compared_runs_write_no_postings_each(spark, tmp_path, monkeypatch, name):
     from sparkloom.plans import metric_plans
     from sparkloom.sources import tables
